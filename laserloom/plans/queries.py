@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from laserloom.operators.spatial import tree_neighbourhoods
+from laserloom.operators.spikes import implausible_readings
 from laserloom.operators.timestamps import flight_log_instants
 from laserloom.session import table
 
@@ -21,7 +22,11 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return tree_neighbourhoods(table(spark, d, "points"), table(spark, d, "tree_metrics"), table(spark, d, "stands"))
 
 
-QUERIES: dict[str, Query] = {"p4_found": p4_found, "p5_found": p5_found}
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return implausible_readings(table(spark, d, "points"), table(spark, d, "sbet"))
+
+
+QUERIES: dict[str, Query] = {"p2_found": p2_found, "p4_found": p4_found, "p5_found": p5_found}
 ORACLES: dict[str, str] = {}
 
 ORACLES["p5_found"] = """
