@@ -15,6 +15,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -152,7 +153,7 @@ class Encoder(dict):
 
 def _slices(b: pa.RecordBatch, column: int, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """Pieces of a batch with about `most` bytes of text, so that long texts don't add up in memory."""
-    size = np.nan_to_num(pa.compute.binary_length(b.column(column)).to_numpy(zero_copy_only=False).astype(float))
+    size = np.nan_to_num(pc.binary_length(b.column(column)).to_numpy(zero_copy_only=False).astype(float))
     cut = np.flatnonzero(np.diff((np.cumsum(size) // most).astype(int))) + 1
     for i, j in zip([0, *cut], [*cut, b.num_rows]):
         if j > i:
