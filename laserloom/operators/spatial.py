@@ -24,36 +24,37 @@ def cell(v: Column, size: float) -> Column:
     return F.when(~F.isnan(v) & (F.abs(v) < F.lit(float(size) * (ORIGIN - 2))), k + F.lit(ORIGIN))
 
 
-def _spread(v: Column) -> Column:
+def add_morton(df: DataFrame, codes: dict[str, tuple[str, str]]) -> DataFrame:
+    """df with Z-order codes: name -> columns of two grid indices below 2^31 (never null); bits of x
+    stand at even, of y at odd places.
+
+    Each step of spreading the bits uses its input twice, so each is a projection of its own: as one
+    expression it would grow to 2^5 copies of its input, evaluated for each row."""
+    half = {f"{out}__{i}": c for out, xy in codes.items() for i, c in enumerate(xy)}
+    df = df.withColumns({k: F.coalesce(F.col(c).cast("long"), F.lit(0).cast("long")) for k, c in half.items()})
     for shift, mask in _SPREAD:
-        v = v.bitwiseOR(F.shiftleft(v, shift)).bitwiseAND(F.lit(mask))
-    return v
-
-
-def morton(ix: Column, iy: Column) -> Column:
-    """Z-order code of two grid indices below 2^31: bits of x at even, of y at odd places."""
-    return _spread(ix.cast("long")).bitwiseOR(F.shiftleft(_spread(iy.cast("long")), 1))
+        df = df.withColumns({k: F.col(k).bitwiseOR(F.shiftleft(F.col(k), shift)).bitwiseAND(F.lit(mask)) for k in half})
+    return df.withColumns({out: F.col(f"{out}__0").bitwiseOR(F.shiftleft(F.col(f"{out}__1"), 1)) for out in codes}).drop(*half)
 
 
 def with_code(df: DataFrame, x: str, y: str, size: float, out: str = "__code") -> DataFrame:
     """df with the code of (x, y); rows without usable coordinates are left out."""
-    ix, iy = cell(F.col(x).cast("double"), size), cell(F.col(y).cast("double"), size)
-    return df.withColumn(out, morton(ix, iy)).where(F.col(out).isNotNull())
+    df = df.withColumns({"__ix": cell(F.col(x).cast("double"), size), "__iy": cell(F.col(y).cast("double"), size)})
+    return add_morton(df.where("__ix is not null and __iy is not null"), {out: ("__ix", "__iy")}).drop("__ix", "__iy")
 
 
 def cover(df: DataFrame, xmin: Column, ymin: Column, xmax: Column, ymax: Column, size: float, level: Column) -> DataFrame:
     """One row for each block of the given level that the box touches: adds __level, __block and the
     code range __lo to __hi of the box inside that block. Rows without a usable box are left out."""
-    side = F.lit(1).cast("long")
     df = df.select("*", cell(xmin, size).alias("__x0"), cell(ymin, size).alias("__y0"), cell(xmax, size).alias("__x1"), cell(ymax, size).alias("__y1"), level.cast("int").alias("__level"))
     df = df.where("__x0 is not null and __y0 is not null and __x1 >= __x0 and __y1 >= __y0")
     shr = lambda c: F.expr(f"shiftright({c}, __level)")
     df = df.withColumn("__bx", F.explode(F.sequence(shr("__x0"), shr("__x1")))).withColumn("__by", F.explode(F.sequence(shr("__y0"), shr("__y1"))))
     first = lambda b: F.expr(f"shiftleft({b}, __level)")
-    last = lambda b: F.expr(f"shiftleft({b} + 1, __level)") - side
-    lo = morton(F.greatest("__x0", first("__bx")), F.greatest("__y0", first("__by")))
-    hi = morton(F.least("__x1", last("__bx")), F.least("__y1", last("__by")))
-    return df.select("*", morton(F.col("__bx"), F.col("__by")).alias("__block"), lo.alias("__lo"), hi.alias("__hi")).drop("__x0", "__y0", "__x1", "__y1", "__bx", "__by")
+    last = lambda b: F.expr(f"shiftleft({b} + 1, __level) - 1")
+    df = df.withColumns({"__xl": F.greatest("__x0", first("__bx")), "__yl": F.greatest("__y0", first("__by")), "__xh": F.least("__x1", last("__bx")), "__yh": F.least("__y1", last("__by"))})
+    df = add_morton(df, {"__block": ("__bx", "__by"), "__lo": ("__xl", "__yl"), "__hi": ("__xh", "__yh")})
+    return df.drop("__x0", "__y0", "__x1", "__y1", "__bx", "__by", "__xl", "__yl", "__xh", "__yh")
 
 
 def _level(extent: float, size: float) -> int:
