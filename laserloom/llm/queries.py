@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from laserloom.llm.bpe import encode_texts
 from laserloom.llm.packing import pack_documents
+from laserloom.llm.reading import unlabelled_levels
 from laserloom.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -21,5 +22,9 @@ def p7_containers(spark: SparkSession, d: str) -> DataFrame:
     return pack_documents(table(spark, d, "documents"))
 
 
-QUERIES: dict[str, Query] = {"p6_ids": p6_ids, "p7_containers": p7_containers}
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return unlabelled_levels(table(spark, d, "documents"), table(spark, d, "reading_labels"))
+
+
+QUERIES: dict[str, Query] = {"p6_ids": p6_ids, "p7_containers": p7_containers, "p8_found": p8_found}
 ORACLES: dict[str, str] = {}
