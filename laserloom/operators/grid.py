@@ -270,21 +270,32 @@ def cubic(d: float) -> float:
 
 def idw(cells: DataFrame, ref: GridRef, radius: int, weight: Callable[[float], float] = cubic, value: str = "value") -> DataFrame:
     """Inverse-distance weighted means of the cells within `radius` cells, at every cell of the grid that
-    has one. A cell's own distance counts as 0.001. Up to radius 3 cells scatter, beyond they work on tiles."""
+    has one. A cell's own distance counts as 0.001. Up to radius 3 cells scatter, beyond they work on tiles, where
+    sums are taken by Fourier transform (about 1e-6 of the spread of the values in error)."""
     steps = [(i, j, weight(d if d else 0.001)) for i, j, d in offsets(radius)]
     if radius <= 3:
         s = _scatter(cells.where(F.col(value).isNotNull()).select("row", "col", F.col(value).alias("v")), steps).where(ref.inside())
         return s.groupBy("row", "col").agg((F.sum(F.col("w") * F.col("v")) / F.sum("w")).alias(value))
     dense = densify(cells.select("row", "col", F.col(value).alias("v")), ref, "v")
 
+    size = 128 + 2 * radius
+    centre = next(w for i, j, w in steps if i == j == 0)
+    wide = np.zeros((size, size))
+    for i, j, w in steps:
+        if i or j:
+            wide[i % size, j % size] = w
+    wave = np.fft.rfft2(wide)
+
     def work(a, present, r0, c0):
-        v, ok = np.nan_to_num(a["v"]), ~np.isnan(a["v"])
-        num, den = np.zeros(v.shape), np.zeros(v.shape)
-        for i, j, w in steps:
-            num += w * np.roll(v, (i, j), (0, 1))
-            den += w * np.roll(ok, (i, j), (0, 1))
+        ok = ~np.isnan(a["v"])
+        mean = a["v"][ok].mean() if ok.any() else 0.0
+        v = np.where(ok, a["v"] - mean, 0.0)
+        # the kernel's ring by Fourier transform; its steep centre, which would swamp the rest, by itself
+        num = np.fft.irfft2(np.fft.rfft2(v) * wave, v.shape) + centre * v
+        den = np.fft.irfft2(np.fft.rfft2(ok.astype(float)) * wave, v.shape) + centre * ok
         with np.errstate(all="ignore"):
-            return {"f": np.where(den > 0, num / den, np.nan)}
+            return {"f": np.where(den > smallest / 2, num / den + mean, np.nan)}
 
+    smallest = min(w for _, _, w in steps if w > 0)
     got = tiled(dense, ["v"], 128, radius, work, {"f": T.DoubleType()})
     return got.where("f is not null and not isnan(f)").select("row", "col", F.col("f").alias(value))

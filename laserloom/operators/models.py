@@ -81,7 +81,8 @@ def elevation_models(points: DataFrame, ref: GridRef, *, layers: Sequence[str] =
     if {"surface", "height"} & set(layers):
         out = out.join(surface_model(points, ref, classes=[*class_terrain, *class_surface], kernel=kernel), ["row", "col"], "left")
     if "height" in layers:
-        out = out.withColumn("height", F.greatest(F.col("surface") - F.col("terrain"), F.lit(0.0)))
+        h = F.col("surface") - F.col("terrain")
+        out = out.withColumn("height", F.when(h < 0, F.lit(0.0)).otherwise(h))
     return out
 
 
@@ -122,4 +123,5 @@ def heights(points: DataFrame, *, class_terrain: Sequence[int] = (2,), row_id: s
     ground = points.where(F.col("classification").isin(*class_terrain) & F.col("z").isNotNull())
     near = nearest_point(points, ground, left_id=row_id, right_id=row_id).select(F.col(row_id).alias("__id"), F.col("z").alias("__ground"))
     d = points.join(near, F.col(row_id) == F.col("__id"), "left")
-    return d.withColumn("h", F.greatest(F.col("z") - F.col("__ground"), F.lit(0.0))).drop("__id", "__ground")
+    h = F.col("z") - F.col("__ground")
+    return d.withColumn("h", F.when(h < 0, F.lit(0.0)).otherwise(h)).drop("__id", "__ground")

@@ -169,7 +169,8 @@ def scale_intensity(points: DataFrame, low: float = 0.01, high: float = 0.99) ->
     a, b = exact_hazen(points.where(labelled()), "intensity", [low, high])
     if a is None or a == b:
         return points.withColumn("iscaled", F.lit(None).cast("double"))
-    return points.withColumn("iscaled", (F.least(F.greatest(c("intensity"), F.lit(a)), F.lit(b)) - F.lit(a)) / F.lit(b - a))
+    held = F.when(c("intensity") < a, F.lit(a)).when(c("intensity") > b, F.lit(b)).otherwise(c("intensity"))
+    return points.withColumn("iscaled", (held - F.lit(a)) / F.lit(b - a))
 
 
 def _eigen(n: np.ndarray, cov: np.ndarray) -> np.ndarray:
@@ -311,6 +312,8 @@ def segment_metrics(points: DataFrame, metrics: Sequence[str] = ("scalar",), *,
             cols = sorted(part)
             out = T.StructType([T.StructField("label", p.schema["label"].dataType), *[T.StructField(k, _SHAPES[k]) for k in cols]])
 
+            # a number of our own: small tables would else be coalesced into one task of heavy kernels
+            base = base.repartition(int(p.sparkSession.conf.get("spark.sql.shuffle.partitions")), "label")
             d = d.join(base.groupBy("label").applyInPandas(_kernel(cols, colour, alpha_min), out), "label", "left")
     if "LUID" in names:
         d = d.join(label_ranks(p), "label")

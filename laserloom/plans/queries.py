@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from laserloom.operators.spatial import tree_neighbourhoods
 from laserloom.operators.spikes import implausible_readings
 from laserloom.operators.timestamps import flight_log_instants
+from laserloom.plans import pointcloud
 from laserloom.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -26,8 +27,8 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return implausible_readings(table(spark, d, "points"), table(spark, d, "sbet"))
 
 
-QUERIES: dict[str, Query] = {"p2_found": p2_found, "p4_found": p4_found, "p5_found": p5_found}
-ORACLES: dict[str, str] = {}
+QUERIES: dict[str, Query] = {**pointcloud.QUERIES, "p2_found": p2_found, "p4_found": p4_found, "p5_found": p5_found}
+ORACLES: dict[str, str] = dict(pointcloud.ORACLES)
 
 ORACLES["p5_found"] = """
 WITH t AS (SELECT DISTINCT label, xpos, ypos FROM tree_metrics WHERE xpos IS NOT NULL AND ypos IS NOT NULL AND label IS NOT NULL),
