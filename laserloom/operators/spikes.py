@@ -55,7 +55,7 @@ INTENSITY = Rule("intensity", (0.0, np.inf), floor=2.75, k=2.0, log=True, up_onl
 ALTITUDE = Rule("altitude", (-500.0, 20000.0), floor=4.0, k=6.0, context=15, profile=64, drift=6.0)
 
 
-def principal(m: np.ndarray, steps: int = 12) -> np.ndarray:
+def principal(m: np.ndarray, steps: int = 25) -> np.ndarray:
     """The low-rank part of m by principal component pursuit (inexact augmented Lagrangian).
 
     The singular values come from the smaller Gram matrix."""
@@ -64,8 +64,10 @@ def principal(m: np.ndarray, steps: int = 12) -> np.ndarray:
     norm = np.linalg.norm(m)
     if norm == 0:
         return m.copy()
-    mu = rows * cols / (4.0 * np.abs(m).sum())
-    s, y = np.zeros_like(m), np.zeros_like(m)
+    top = np.sqrt(max(np.linalg.eigvalsh(m @ m.T if rows <= cols else m.T @ m)[-1], 1e-300))
+    y = m / max(top, np.abs(m).max() / lam)
+    mu = 1.25 / top
+    s = np.zeros_like(m)
     low = m
     for _ in range(steps):
         a = m - s + y / mu
@@ -85,8 +87,8 @@ def principal(m: np.ndarray, steps: int = 12) -> np.ndarray:
         s = np.sign(b) * np.maximum(np.abs(b) - lam / mu, 0)
         gap = m - low - s
         y = y + mu * gap
-        mu *= 1.6
-        if np.linalg.norm(gap) < 1e-4 * norm:
+        mu *= 1.5
+        if np.linalg.norm(gap) < 1e-3 * norm:
             break
     return low
 
