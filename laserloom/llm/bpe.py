@@ -151,6 +151,13 @@ class Encoder(dict):
         return got
 
 
+def spare(name: str, taken: list[str]) -> str:
+    """The name, or one like it that is not taken."""
+    while name.lower() in {t.lower() for t in taken}:
+        name += "_"
+    return name
+
+
 def _slices(b: pa.RecordBatch, column: int, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """Pieces of a batch with about `most` bytes of text, so that long texts don't add up in memory."""
     size = np.nan_to_num(pc.binary_length(b.column(column)).to_numpy(zero_copy_only=False).astype(float))
@@ -169,7 +176,7 @@ def encode_texts(df: DataFrame, text: str, *, out: str = "ids", ranks: str = RAN
     that isn't kept isn't sent back. One narrow pass, no shuffle; whole texts, in slices of bounded size.
     """
     cols = [c for c in (df.columns if keep is None else keep) if c != out]
-    src = df.select(*[F.col(f"`{c}`") for c in cols], F.col(f"`{text}`").cast("string").alias("__text"))
+    src = df.select(*[F.col(f"`{c}`") for c in cols], F.col(f"`{text}`").cast("string").alias(spare("__text", cols)))
     schema = T.StructType([*df.select(*[F.col(f"`{c}`") for c in cols]).schema.fields, T.StructField(out, T.ArrayType(T.IntegerType(), False))])
     k = len(cols)
 
@@ -187,7 +194,7 @@ def encode_texts(df: DataFrame, text: str, *, out: str = "ids", ranks: str = RAN
 def count_tokens(df: DataFrame, text: str, *, out: str = "n_tokens", ranks: str = RANKS, keep: list[str] | None = None) -> DataFrame:
     """Add `out` (LONG): how many ids encode_texts would give."""
     cols = [c for c in (df.columns if keep is None else keep) if c != out]
-    src = df.select(*[F.col(f"`{c}`") for c in cols], F.col(f"`{text}`").cast("string").alias("__text"))
+    src = df.select(*[F.col(f"`{c}`") for c in cols], F.col(f"`{text}`").cast("string").alias(spare("__text", cols)))
     schema = T.StructType([*df.select(*[F.col(f"`{c}`") for c in cols]).schema.fields, T.StructField(out, T.LongType())])
     k = len(cols)
 
