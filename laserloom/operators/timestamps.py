@@ -260,7 +260,8 @@ def normalise_timestamps(
     keep = [c for c in df.columns if c not in added]
     from pyspark.sql import functions as F
 
-    args = {"__v": (value, "string"), "__w": (week, "int"), "__z": (zone, "string"), "__o": (order, "string")}
+    tail = "_" * max([len(x) for x in keep], default=0)  # names that no column has
+    args = {f"{tail}v": (value, "string"), f"{tail}w": (week, "int"), f"{tail}z": (zone, "string"), f"{tail}o": (order, "string")}
     src = df.select(*[F.col(f"`{c}`") for c in keep], *[(F.col(f"`{c}`") if c else F.lit(None)).cast(t).alias(a) for a, (c, t) in args.items()])
     schema = T.StructType([*df.select(*[F.col(f"`{c}`") for c in keep]).schema.fields, T.StructField(out, T.LongType()), T.StructField(added[1], T.IntegerType()), T.StructField(added[2], T.StringType())])
     k = len(keep)
