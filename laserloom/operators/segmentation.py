@@ -23,9 +23,9 @@ def peaks(heights: DataFrame, ref: GridRef, *, value: str = "value", least: floa
     first in (row, col) stays. radius: metres as a column of the height, held to `longest`."""
     cell = abs(ref.dx)
     d = heights.select("row", "col", F.col(value).alias("h")).where(F.col("h") >= least)
-    src = _scatter(d.withColumns({"sr": F.col("row"), "sc": F.col("col")}), [s for s in offsets(math.ceil(longest / cell)) if s[2] > 0])
+    src = _scatter(d.withColumns({"sr": F.col("row"), "sc": F.col("col")}), [s for s in offsets(max(longest / cell, 1.5)) if s[2] > 0])
     near = src.select("row", "col", F.col("h").alias("oh"), "sr", "sc", F.col("w").alias("dist"))
-    reach = F.least(radius(F.col("h")), F.lit(float(longest))) / F.lit(cell)
+    reach = F.greatest(F.least(radius(F.col("h")), F.lit(float(longest))) / F.lit(cell), F.lit(1.5))  # the next cells at least
     j = d.join(near, ["row", "col"])
     higher = (F.col("dist") <= reach) & ((F.col("oh") > F.col("h")) | ((F.col("oh") == F.col("h")) & (F.struct("sr", "sc") < F.struct("row", "col"))))
     beaten = j.where(higher).select("row", "col").distinct()

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -44,12 +46,33 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def own_dir(spark: SparkSession) -> str:
+    """This application's part of the shared folder; removed when the driver ends."""
+    path = f"{shared_dir(spark)}/laserloom-{spark.sparkContext.applicationId}"
+    if path not in _kept:
+        _kept.add(path)
+        atexit.register(_remove, spark, path)
+    return path
+
+
+_kept: set[str] = set()
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    try:
+        jvm = spark.sparkContext._jvm
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    except Exception:  # the JVM may have gone first
+        shutil.rmtree(path.removeprefix("file://"), ignore_errors=True)
+
+
 def materialise(df: DataFrame, what: str = "step") -> DataFrame:
     """Cut the lineage: write df as a table into the shared folder and read it back.
 
     The files survive the loss of an executor. Used only where a result feeds several later
     plans whose recomputation would cost more than one write and read."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
+    path = f"{own_dir(spark)}/{what}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
