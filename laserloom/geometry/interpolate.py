@@ -55,3 +55,99 @@ def linear_cells(cells: DataFrame, ref: grid.GridRef, value: str = "value", tile
     dense = grid.densify(cells.select("row", "col", F.col(value).cast("double").alias("v")), ref, "v")
     got = grid.tiled(dense, ["v"], tile, halo, lambda a, present, r0, c0: {"f": fill_linear(a["v"])}, {"f": T.DoubleType()})
     return got.select("row", "col", F.when(~F.isnan("f"), F.col("f")).alias(value))
+
+
+def fill_natural(values: np.ndarray, reach: int = 24) -> np.ndarray:
+    """NaN cells by discrete natural neighbours: each cell hands the value of its nearest node to all cells nearer to
+    it than that node; a cell's value is the mean of what it was handed. Cells with a value keep it; cells farther
+    than `reach` from their node hand nothing on."""
+    from laserloom.operators.grid import _nearest
+
+    valid = ~np.isnan(values)
+    if not valid.any() or valid.all():
+        return values.copy()
+    who, dist = _nearest(valid)
+    v = values.ravel()[np.maximum(who, 0)]
+    total, n = np.zeros(values.shape), np.zeros(values.shape)
+    h, w = values.shape
+    square = np.round(np.minimum(dist, 1e6) ** 2).astype(np.int64)
+    for d2 in np.unique(square[square <= reach * reach]).tolist():
+        at = square == d2
+        r = int(np.sqrt(d2))
+        put, one = np.where(at, v, 0.0), at.astype(float)
+        for i in range(-r, r + 1):
+            j = int(np.sqrt(max(d2 - i * i, 0)))
+            # cells within reach along a row: differences of running sums
+            for src, out in ((put, total), (one, n)):
+                s = np.concatenate([np.zeros((h, 1)), np.cumsum(src, axis=1)], axis=1)
+                lo, hi = np.clip(np.arange(w) - j, 0, w), np.clip(np.arange(w) + j + 1, 0, w)
+                row = s[:, hi] - s[:, lo]
+                a, b = max(0, i), min(h, h + i)
+                out[a:b] += row[a - i : b - i]
+    with np.errstate(all="ignore"):
+        return np.where(valid, values, total / n)
+
+
+def natural_cells(cells: DataFrame, ref: grid.GridRef, value: str = "value", tile: int = 64, halo: int = 48) -> DataFrame:
+    """Every cell of the grid by natural neighbours within half of `halo` cells; null where there is no node so near."""
+    dense = grid.densify(cells.select("row", "col", F.col(value).cast("double").alias("v")), ref, "v")
+    got = grid.tiled(dense, ["v"], tile, halo, lambda a, present, r0, c0: {"f": fill_natural(a["v"], halo // 2)}, {"f": T.DoubleType()})
+    return got.select("row", "col", F.when(~F.isnan("f"), F.col("f")).alias(value))
+
+
+def on_triangles(nodes: np.ndarray, values: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Linear interpolation at positions; NaN outside the nodes' triangles."""
+    out = np.full(len(at), np.nan)
+    if len(nodes) < 3 or not len(at):
+        return out
+    tri = delaunay(nodes)
+    if tri is None:
+        return out
+    order = np.argsort(at[:, 0], kind="stable")
+    xs = at[order, 0]
+    p = nodes[tri]
+    lo = np.searchsorted(xs, p[:, :, 0].min(1) - 1e-9)
+    hi = np.searchsorted(xs, p[:, :, 0].max(1) + 1e-9, side="right")
+    for t in np.flatnonzero(hi > lo):
+        rows = order[lo[t] : hi[t]]
+        a, b, c = p[t]
+        det = (b[0] - a[0]) * (c[1] - a[1]) - (c[0] - a[0]) * (b[1] - a[1])
+        if abs(det) < 1e-12:
+            continue
+        q = at[rows] - a
+        u = (q[:, 0] * (c[1] - a[1]) - q[:, 1] * (c[0] - a[0])) / det
+        w = (q[:, 1] * (b[0] - a[0]) - q[:, 0] * (b[1] - a[1])) / det
+        hit = (u >= -1e-9) & (w >= -1e-9) & (u + w <= 1 + 1e-9)
+        k = values[tri[t]]
+        out[rows[hit]] = (k[0] + u * (k[1] - k[0]) + w * (k[2] - k[0]))[hit]
+    return out
+
+
+def linear_ground(points: DataFrame, ground: DataFrame, row_id: str, tile: float = 64.0, halo: float = 24.0, node: float = 0.5) -> DataFrame:
+    """row_id, ground: height of the ground at each point, on the triangles of the ground returns of its tile
+    and a halo. Returns are first averaged per square of side `node`, so a tile's triangles are bounded."""
+    k = lambda col: F.floor(F.col(col) / F.lit(tile)).cast("long")
+    g = ground.where("x is not null and y is not null and z is not null").groupBy(F.floor(F.col("x") / node).alias("i"), F.floor(F.col("y") / node).alias("j")).agg(F.avg("x").alias("x"), F.avg("y").alias("y"), F.avg("z").alias("z"))
+    near = lambda col: F.explode(F.sequence(F.floor((F.col(col) - F.lit(halo)) / F.lit(tile)).cast("long"), F.floor((F.col(col) + F.lit(halo)) / F.lit(tile)).cast("long")))
+    g = g.withColumn("tx", near("x")).withColumn("ty", near("y")).select("tx", "ty", "x", "y", "z")
+    nodes = g.groupBy("tx", "ty").agg(F.collect_list(F.struct("x", "y", "z")).alias("nodes"))
+    # a tile's points come in pieces, each with the tile's nodes: a crowded tile is no single task
+    p = points.select(F.col(row_id).alias("id"), "x", "y").where("id is not null and x is not null and y is not null").distinct()
+    p = p.withColumns({"tx": k("x"), "ty": k("y"), "s": F.pmod(F.xxhash64("id"), F.lit(4))})
+    packed = p.groupBy("tx", "ty", "s").agg(F.collect_list(F.struct("id", "x", "y")).alias("points")).join(nodes, ["tx", "ty"])
+
+    @F.pandas_udf(T.ArrayType(T.DoubleType()))
+    def heights(pts, nds):
+        import pandas as pd
+
+        out = []
+        for a, b in zip(pts, nds):
+            at = np.array([(r["x"], r["y"]) for r in a], float)
+            n = np.array([(r["x"], r["y"], r["z"]) for r in b], float)
+            n = n[np.lexsort((n[:, 1], n[:, 0]))]
+            low = n[:, :2].min(0)
+            out.append(on_triangles(n[:, :2] - low, n[:, 2], at - low).tolist())
+        return pd.Series(out)
+
+    got = packed.select(F.explode(F.arrays_zip(F.col("points"), heights("points", "nodes").alias("h"))).alias("q"))
+    return got.select(F.col("q.points.id").alias(row_id), F.col("q.h").alias("ground")).where("ground is not null and not isnan(ground)")

@@ -31,7 +31,7 @@ def density_summary(density: DataFrame, value: str = "density_overall") -> DataF
 
 
 def terrain_model(points: DataFrame, ref: GridRef, *, class_terrain: Sequence[int] = (2, 9), method: str = "idw", radius: float = math.inf, weight: Callable[[float], float] = grid.cubic, kernel: list[list[float]] | None = None) -> DataFrame:
-    """row, col, terrain on the whole grid: cell means of the ground returns, interpolated (idw, nearest or linear), then
+    """row, col, terrain on the whole grid: cell means of the ground returns, interpolated (idw, nearest, linear or natural), then
     filled from the nearest cell and smoothed. ValueError without a ground return."""
     ground = points.where(F.col("classification").isin(*class_terrain) & F.col("z").isNotNull())
     cells = materialise(grid.rasterize(ground, ref, "z", "mean"), "ground")
@@ -47,12 +47,13 @@ def terrain_model(points: DataFrame, ref: GridRef, *, class_terrain: Sequence[in
             r = math.ceil(radius / abs(ref.dx))
         full = grid.densify(grid.idw(cells, ref, r, weight), ref)
         full = grid.nearest_fill(full, ref).select("row", "col", "value")
-    elif method == "linear":
-        from laserloom.geometry.interpolate import linear_cells
+    elif method in ("linear", "natural"):
+        from laserloom.geometry.interpolate import linear_cells, natural_cells
 
-        full = grid.nearest_fill(linear_cells(cells, ref), ref).select("row", "col", "value")
+        some = (linear_cells if method == "linear" else natural_cells)(cells, ref)
+        full = grid.nearest_fill(some, ref).select("row", "col", "value")
     else:
-        raise ValueError(f"method must be idw, nearest or linear, not {method!r}")
+        raise ValueError(f"method must be idw, nearest, linear or natural, not {method!r}")
     if kernel is not None:
         full = grid.focal(full, ref, kernel)
     return full.withColumnRenamed("value", "terrain")
@@ -117,11 +118,23 @@ def nearest_point(left: DataFrame, right: DataFrame, *, left_id: str, right_id:
     return out.select(F.col("__l").alias(left_id), F.col("b.d").alias("dist"), F.col("b.__r").alias("nearest"), F.col("b.__c").alias(carry))
 
 
-def heights(points: DataFrame, *, class_terrain: Sequence[int] = (2,), row_id: str = "pid") -> DataFrame:
-    """Points with h, their height above the nearest ground return, never negative. Points without a
-    position, or a cloud without ground, get a null h."""
+def heights(points: DataFrame, *, class_terrain: Sequence[int] = (2,), method: str = "nearest", row_id: str = "pid") -> DataFrame:
+    """Points with h, their height above the ground, never negative.
+
+    The ground is that of the nearest ground return, or (method linear) lies on the triangles of the returns, and
+    off them is again that of the nearest. Points without a position, or a cloud without ground, get a null h."""
+    if method not in ("nearest", "linear"):
+        raise ValueError(f"method must be nearest or linear, not {method!r}")
     ground = points.where(F.col("classification").isin(*class_terrain) & F.col("z").isNotNull())
-    near = nearest_point(points, ground, left_id=row_id, right_id=row_id).select(F.col(row_id).alias("__id"), F.col("z").alias("__ground"))
+    todo, lin = points, None
+    if method == "linear":
+        from laserloom.geometry.interpolate import linear_ground
+
+        lin = materialise(linear_ground(points, ground, row_id), "ground")
+        todo = points.join(lin.select(row_id), row_id, "left_anti")
+    near = nearest_point(todo, ground, left_id=row_id, right_id=row_id).select(F.col(row_id).alias("__id"), F.col("z").alias("__ground"))
+    if lin is not None:
+        near = near.unionByName(lin.select(F.col(row_id).alias("__id"), F.col("ground").alias("__ground")))
     d = points.join(near, F.col(row_id) == F.col("__id"), "left")
     h = F.col("z") - F.col("__ground")
     return d.withColumn("h", F.when(h < 0, F.lit(0.0)).otherwise(h)).drop("__id", "__ground")

@@ -36,7 +36,6 @@ class Metric:
     build: Callable[[], Column] | None
     scalar: bool = True
     needs: str = ""
-    after: tuple[str, ...] = ()
     format: str = "%.4f"
     about: str = ""
 
@@ -77,7 +76,7 @@ _add("Random", "Basic", lambda: F.rand(7), "post", about="uniform in 0 to 1")
 _add("NPoints", "Basic", lambda: F.count("*"), format="%d")
 _add("XYZ", "Basic", lambda: _point("x", "y", "z"), scalar=False)
 _add("XYH", "Basic", None, "xyh", scalar=False, about="positions relative to apex and ground")
-_add("UVW", "Basic", None, "shape", scalar=False, about="scores on the principal axes")
+_add("UVW", "Basic", None, "scores", scalar=False, about="scores on the principal axes")
 _add("XPos", "Basic", lambda: c("__xapex"), "post")
 _add("YPos", "Basic", lambda: c("__yapex"), "post")
 _add("ZPos", "Basic", lambda: c("ZPos"), "post", about="ground height at the apex")
@@ -188,7 +187,7 @@ _SHAPES: dict[str, T.DataType] = {
     "CVH3D": T.ArrayType(T.ArrayType(T.LongType())), "CVH3DArea": T.DoubleType(), "CVH3DVol": T.DoubleType(), "__cvh3d_facets": T.IntegerType(),
     "CCH2D": _XY, "XCCH2D": T.ArrayType(T.DoubleType()), "YCCH2D": T.ArrayType(T.DoubleType()), "CCH2DArea": T.DoubleType(),
     "CCH3D": T.ArrayType(T.ArrayType(T.LongType())), "CCH3DArea": T.DoubleType(), "CCH3DVol": T.DoubleType(), "__cch3d_facets": T.IntegerType(),
-    "UVW": _XY, "RChroHQ50": T.DoubleType(), "GChroHQ50": T.DoubleType(), "BChroHQ50": T.DoubleType(),
+    "RChroHQ50": T.DoubleType(), "GChroHQ50": T.DoubleType(), "BChroHQ50": T.DoubleType(),
 }
 #: What derived shape metrics take from the kernels.
 _FROM = {
@@ -230,10 +229,6 @@ def shapes_of(pid: np.ndarray, xyz: np.ndarray, chroma: np.ndarray | None, want:
         a = H.alpha_shape(near, alpha_min)
         if a is not None:
             got |= {"CCH3D": pid[a.boundary].tolist(), "CCH3DArea": a.surface, "CCH3DVol": a.measure, "__cch3d_facets": len(a.boundary)}
-    if "UVW" in want and len(xyz) > 3:
-        axes = np.linalg.eigh(np.cov(near.T))[1][:, ::-1]
-        axes = axes * np.where(np.abs(axes).max(0) == axes.max(0), 1, -1)  # the largest part of an axis is positive
-        got["UVW"] = (near @ axes).tolist()
     return got
 
 
@@ -247,32 +242,72 @@ def _kernel(cols: list[str], colour: bool, alpha_min: float):
     return one
 
 
-def hull_candidates(d: DataFrame, groups: int = 8) -> DataFrame:
-    """Points that can be corners of a segment's hull: corners of the hulls of slices of it. So a segment with
-    a third of all points is first reduced in many tasks."""
-    schema = d.schema
+def _split_by_size(d: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
+    """(rows of segments of at most `most` rows, rows of larger ones with their number of rows __n). The larger
+    ones are at most one in `most` rows, so the join's small side stays small."""
+    large = d.groupBy("label").agg(F.count("*").alias("__n")).where(c("__n") > most)
+    return d.join(large.select("label"), "label", "left_anti"), d.join(large, "label")
+
+
+def hull_candidates(d: DataFrame, most: int = 5000) -> DataFrame:
+    """Points that can be corners of a segment's hull: of large segments the corners of the hulls of slices of
+    it. So a segment with a third of all points is first reduced in many tasks."""
 
     def corners(pdf):
         from laserloom.geometry.hull import convex_hull
 
-        if len(pdf) <= 200:
-            return pdf
+        pdf = pdf.drop(columns="__k")
         xyz = pdf[["x", "y", "z"]].to_numpy(float)
         h = convex_hull(xyz - xyz.mean(0))
         return pdf if h is None else pdf.iloc[h.vertices]
 
-    n = F.count("*").over(Window.partitionBy("label"))
-    slices = F.least(F.lit(10_000), F.greatest(F.lit(1), F.ceil(F.col("__n") / F.lit(5000)))).cast("int")
-    e = d.withColumn("__n", n).withColumn("__k", F.pmod(F.xxhash64("pid"), slices)).drop("__n")
-    return e.groupBy("label", "__k").applyInPandas(lambda pdf: corners(pdf.drop(columns="__k")), schema)
+    small, large = _split_by_size(d, most)
+    k = F.pmod(F.xxhash64("pid"), F.ceil(c("__n") / F.lit(most)).cast("long"))
+    e = large.withColumn("__k", k).drop("__n")
+    return small.unionByName(e.groupBy("label", "__k").applyInPandas(corners, d.schema))
+
+
+def thinned(d: DataFrame, most: int = 20_000) -> DataFrame:
+    """Points for alpha shapes, which need a segment as a whole: segments of more than `most` points are
+    thinned to the first point of each voxel, the voxels being so large that about `most` of them fill the bounds."""
+    small, large = _split_by_size(d, most)
+    box = large.groupBy("label").agg(*[F.min(k).alias(f"__{k}") for k in "xyz"], ((F.max("x") - F.min("x")) * (F.max("y") - F.min("y")) * (F.max("z") - F.min("z"))).alias("__v"))
+    side = F.greatest(F.pow(c("__v") / F.lit(float(most)), F.lit(1 / 3)), F.lit(1e-9))
+    v = large.join(box, "label").withColumns({f"__i{k}": F.floor((c(k) - c(f"__{k}")) / side) for k in "xyz"})
+    row = F.struct(*[c(x) for x in d.columns])
+    return small.unionByName(v.groupBy("label", "__ix", "__iy", "__iz").agg(F.min_by(row, "pid").alias("p")).select("p.*"))
+
+
+def principal_scores(p: DataFrame, moments: DataFrame) -> DataFrame:
+    """label, UVW: positions on the principal axes of their segment, in order of pid. moments: label, __n,
+    __mean_x.. and __cov_xx.. of the segments. The axes come from the covariances, the scores from columns, so no
+    task needs a segment's points at once; the largest part of an axis is positive."""
+
+    @F.pandas_udf(T.ArrayType(T.DoubleType()))
+    def axes(n, a, b, e, f, g, h):
+        import pandas as pd
+
+        m = np.column_stack([x.to_numpy(float) for x in (a, b, e, f, g, h)])[:, [0, 1, 2, 1, 3, 4, 2, 4, 5]].reshape(-1, 3, 3)
+        ok = (n.to_numpy(float) > 3) & np.isfinite(m).all((1, 2))
+        out = np.full((len(m), 9), np.nan)
+        v = np.linalg.eigh(m[ok])[1][:, :, ::-1]
+        v = v * np.where(np.abs(v).max(1, keepdims=True) == v.max(1, keepdims=True), 1, -1)
+        out[ok] = v.transpose(0, 2, 1).reshape(-1, 9)
+        return pd.Series([r.tolist() if o else None for r, o in zip(out, ok)])
+
+    m = moments.select("label", *[c(f"__mean_{k}") for k in "xyz"], axes("__n", *[f"__cov_{k}" for k in ("xx", "xy", "xz", "yy", "yz", "zz")]).alias("__ax")).where("__ax is not null")
+    j = p.select("label", "pid", "x", "y", "z").join(m, "label")
+    score = [sum((c("__ax")[3 * k + i] * (c(x) - c(f"__mean_{x}")) for i, x in enumerate("xyz")), F.lit(0.0)) for k in range(3)]
+    each = j.select("label", "pid", F.array(*score).alias("s"))
+    return each.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("pid", "s"))), lambda q: q["s"]).alias("UVW"))
 
 
 def segment_metrics(points: DataFrame, metrics: Sequence[str] = ("scalar",), *, dtm: DataFrame | None = None, ref: GridRef | None = None, intensity_scaling: bool = True, alpha_min: float = 0.0) -> DataFrame:
     """label and the selected metrics, in registry order; segments with a null in any selected scalar are dropped.
 
     dtm: row, col, terrain on `ref` gives the ground height at the apex; without it the ground is the segment's
-    lowest point. Points without label, position or height take no part. Kernels that need all points of a segment
-    (alpha shapes, UVW) take a segment as one group; convex hulls and all statistics do not."""
+    lowest point. Points without label, position or height take no part. Only alpha shapes take a segment as a
+    whole, and thin it first if it is very large; convex hulls, scores and statistics work in parts."""
     names = select_metrics(metrics, points.columns)
     want = [REGISTRY[n] for n in names]
     p = points.where(labelled() & F.expr("x is not null and y is not null and z is not null and not isnan(z)"))
@@ -280,6 +315,7 @@ def segment_metrics(points: DataFrame, metrics: Sequence[str] = ("scalar",), *,
         p = scale_intensity(p) if intensity_scaling else p.withColumn("iscaled", c("intensity"))
     aggs = {k: f() for k, f in HELPERS.items() if k not in ("__is", "__imean", "__istd") or any(m.needs == "intensity" for m in want)}
     aggs["__zmin"] = F.min("z")
+    aggs |= {f"__mean_{k}": F.avg(k) for k in "xyz"}
     aggs |= {m.name: m.build() for m in want if m.kind == "agg"}
     if "XYH" in names:
         aggs["XYH"] = _point("x", "y", "z")
@@ -299,16 +335,18 @@ def segment_metrics(points: DataFrame, metrics: Sequence[str] = ("scalar",), *,
 
         d = d.withColumn("__ev", eigen("__n", *[f"__cov_{k}" for k in ("xx", "xy", "xz", "yy", "yz", "zz")]))
         d = d.withColumns({f"PCVar{k}": F.element_at("__ev", k) for k in (1, 2, 3)})
+    if "UVW" in names:
+        d = d.join(principal_scores(p, d), "label", "left")
     shape = {m.name for m in want if m.kind == "shape"}
     raw = {k for n in shape for k in _FROM.get(n, (n,))}
     if raw:
         colour = {"red", "green", "blue"} <= set(p.columns)
         src = p.select("label", "pid", "x", "y", "z", *[_chroma(k).alias(k[0]) for k in ("red", "green", "blue") if colour])
-        whole = raw & {k for k in _SHAPES if "CCH" in k or "cch" in k or k == "UVW"}
-        for part, base in ((raw - whole, None), (whole, src)):
+        whole = raw & {k for k in _SHAPES if "CCH" in k or "cch" in k}
+        for part, reduce in ((raw - whole, hull_candidates), (whole, thinned)):
             if not part:
                 continue
-            base = hull_candidates(src) if base is None else base
+            base = reduce(src)
             cols = sorted(part)
             out = T.StructType([T.StructField("label", p.schema["label"].dataType), *[T.StructField(k, _SHAPES[k]) for k in cols]])
 

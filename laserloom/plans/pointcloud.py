@@ -263,6 +263,23 @@ def g3_terrain_linear(spark, d):
     return models.terrain_model(p, grid.grid_over(p, 5.0), method="linear")
 
 
+@query()
+def g3_terrain_natural(spark, d):
+    p = pts(spark, d)
+    return models.terrain_model(p, grid.grid_over(p, 5.0), method="natural")
+
+
+@query()
+def g10_heights_linear(spark, d):
+    p = pts(spark, d).select("pid", "x", "y", "z", "classification").distinct()
+    return models.heights(p, method="linear").select("pid", r("h", 4, "h"))
+
+
+@query()
+def m_principal_scores(spark, d):
+    return segments.segment_metrics(pts(spark, d), ["NPoints", "UVW"]).select("label", "NPoints", F.size("UVW").alias("scores"))
+
+
 @query()
 def g2_terrain_idw_unbounded(spark, d):
     p = pts(spark, d)
@@ -581,12 +598,11 @@ def m_all_metrics(spark, d):
 @query(f"""WITH {ref_sql(2.0)}, t AS (SELECT row, col, label, z FROM c WHERE label <> 0), s AS (SELECT label, avg(z) AS m, max(z) AS top FROM t GROUP BY label)
 SELECT DISTINCT row, col, label, ROUND(m, 4) AS mean, top FROM t JOIN s USING (label)""")
 def a20_segment_raster_stats(spark, d):
-    from pyspark.sql import Window
-
     p = pts(spark, d)
-    w = Window.partitionBy("label")
-    c = grid.with_cell(p, grid.grid_over(p, 2.0)).where(predicates.labelled()).select("row", "col", "label", r(F.avg("z").over(w), 4, "mean"), F.max("z").over(w).alias("top"))
-    return c.distinct()
+    c = grid.with_cell(p, grid.grid_over(p, 2.0)).where(predicates.labelled()).select("row", "col", "label", "z")
+    # aggregated and joined back, as a window would gather a large segment in one task
+    s = c.groupBy("label").agg(r(F.avg("z"), 4, "mean"), F.max("z").alias("top"))
+    return c.select("row", "col", "label").distinct().join(s, "label")
 
 
 @query(f"""WITH {ref_sql(2.0)}, o AS (SELECT row, col, max(z) AS v, max(label) AS label FROM c WHERE label <> 0 GROUP BY row, col)

@@ -125,7 +125,7 @@ def test_models(spark):
     rows = [(i, float(i % 10), float(i // 10), 100.0 + (i % 10), 2) for i in range(100)] + [(200, 4.2, 4.1, 130.0, 5), (201, 2.0, 2.0, 50.0, 5)]
     p = spark.createDataFrame(rows, XYZ + ", classification int")
     ref = grid.grid_over(p, 1.0)
-    for method in ("nearest", "idw", "linear"):
+    for method in ("nearest", "idw", "linear", "natural"):
         m = {(r.row, r.col): r for r in models.elevation_models(p, ref, method=method).collect()}
         assert len(m) == 100 and all(r.height >= 0 for r in m.values())
         top = max(m.values(), key=lambda r: r.height)
@@ -136,6 +136,8 @@ def test_models(spark):
         models.elevation_models(p, ref, layers=("roof",))
     h = {r.pid: r.h for r in models.heights(p).collect()}
     assert h[200] == 26.0 and h[201] == 0.0 and h[5] == 0.0
+    h = {r.pid: r.h for r in models.heights(p, method="linear").collect()}
+    assert len(h) == 102 and abs(h[200] - 25.8) < 1e-6 and h[201] == 0.0 and abs(h[5]) < 1e-6
 
 
 def test_linear_interpolation_of_a_plane(spark):
@@ -338,6 +340,24 @@ def test_tiles(spark):
     assert len(g) == 32 and int(g, 16) >= 0
 
 
+def test_large_segments_are_thinned_for_alpha_shapes(spark):
+    p = spark.range(60_000).selectExpr("id as pid", "5L as label", "rand(1) x", "rand(2) y", "rand(3) z").withColumns({k: F.lit(0.5) for k in "rgb"})
+    few = segments.thinned(p, 1000)
+    assert 500 < few.count() < 2000 and set(few.columns) == set(p.columns) and segments.thinned(p, 100_000).count() == 60_000
+
+
+def test_natural_neighbours():
+    from laserloom.geometry.interpolate import fill_natural
+
+    a = np.full((40, 40), np.nan)
+    r = np.random.RandomState(11)
+    i, j = r.randint(0, 40, (2, 250))
+    a[i, j] = 2.0 * i + j
+    got = fill_natural(a)
+    inner = got[8:32, 8:32] - (2.0 * np.arange(40)[:, None] + np.arange(40))[8:32, 8:32]
+    assert not np.isnan(got).any() and np.abs(inner).mean() < 1.0 and (got[i, j] == a[i, j]).all()
+
+
 def test_outlines(spark):
     p = spark.range(20_000).selectExpr("cast(id % 2 as string) as file", "rand(1) * 100 as x", "rand(2) * 50 as y")
     for d in (hulls.convex_extents(p), hulls.concave_extents(p)):
