@@ -123,7 +123,7 @@ def on_triangles(nodes: np.ndarray, values: np.ndarray, at: np.ndarray) -> np.nd
     return out
 
 
-def linear_ground(points: DataFrame, ground: DataFrame, row_id: str, tile: float = 64.0, halo: float = 24.0, node: float = 0.5) -> DataFrame:
+def linear_ground(points: DataFrame, ground: DataFrame, row_id: str, tile: float = 32.0, halo: float = 12.0, node: float = 1.0, piece: int = 20_000) -> DataFrame:
     """row_id, ground: height of the ground at each point, on the triangles of the ground returns of its tile
     and a halo. Returns are first averaged per square of side `node`, so a tile's triangles are bounded."""
     k = lambda col: F.floor(F.col(col) / F.lit(tile)).cast("long")
@@ -131,10 +131,13 @@ def linear_ground(points: DataFrame, ground: DataFrame, row_id: str, tile: float
     near = lambda col: F.explode(F.sequence(F.floor((F.col(col) - F.lit(halo)) / F.lit(tile)).cast("long"), F.floor((F.col(col) + F.lit(halo)) / F.lit(tile)).cast("long")))
     g = g.withColumn("tx", near("x")).withColumn("ty", near("y")).select("tx", "ty", "x", "y", "z")
     nodes = g.groupBy("tx", "ty").agg(F.collect_list(F.struct("x", "y", "z")).alias("nodes"))
-    # a tile's points come in pieces, each with the tile's nodes: a crowded tile is no single task
+    # a tile's points come in pieces of bounded size, each with the tile's nodes
     p = points.select(F.col(row_id).alias("id"), "x", "y").where("id is not null and x is not null and y is not null").distinct()
-    p = p.withColumns({"tx": k("x"), "ty": k("y"), "s": F.pmod(F.xxhash64("id"), F.lit(4))})
+    p = p.withColumns({"tx": k("x"), "ty": k("y")})
+    n = p.groupBy("tx", "ty").agg(F.ceil(F.count("*") / F.lit(piece)).cast("long").alias("k"))
+    p = p.join(n, ["tx", "ty"]).withColumn("s", F.pmod(F.xxhash64("id"), F.col("k")))
     packed = p.groupBy("tx", "ty", "s").agg(F.collect_list(F.struct("id", "x", "y")).alias("points")).join(nodes, ["tx", "ty"])
+    packed = packed.repartition(4 * int(points.sparkSession.conf.get("spark.sql.shuffle.partitions")), "tx", "ty", "s")
 
     @F.pandas_udf(T.ArrayType(T.DoubleType()))
     def heights(pts, nds):

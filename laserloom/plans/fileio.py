@@ -43,7 +43,7 @@ def s3_dbf_columns(spark, d) -> DataFrame:
     return dbf.read_dbf(spark, path, columns=["label", 2]).select(F.col("label").cast("long").alias("label"), "h")
 
 
-@query("SELECT stand_id, attr_species AS species, CAST(len([v FOR v IN x IF NOT isnan(v)]) AS INT) AS vertices, CAST(len([v FOR v IN x IF isnan(v)]) + 1 AS INT) AS parts, list_min([v FOR v IN x IF NOT isnan(v)]) AS xmin, list_max([v FOR v IN y IF NOT isnan(v)]) AS ymax FROM stands")
+@query("SELECT stand_id, nullif(trim(attr_species), '') AS species, CAST(len([v FOR v IN x IF NOT isnan(v)]) AS INT) AS vertices, CAST(len([v FOR v IN x IF isnan(v)]) + 1 AS INT) AS parts, list_min([v FOR v IN x IF NOT isnan(v)]) AS xmin, list_max([v FOR v IN y IF NOT isnan(v)]) AS ymax FROM stands")
 def s5_s6_shapefile(spark, d) -> DataFrame:
     path = place(spark, "stands.shp")
     shapefile.write_shapefile(shapefile.from_stands(table(spark, d, "stands").select("stand_id", "x", "y", "geometry", "attr_species")), path, "Polygon")
