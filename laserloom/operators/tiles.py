@@ -70,6 +70,21 @@ def prune(extents: DataFrame, ring: Ring) -> DataFrame:
     return d.where(meets)
 
 
+def clip_tiled(points: DataFrame, extents: DataFrame, ring: Ring, *, by: str = "file", tile_id: str = "filename") -> DataFrame:
+    """Points in the polygon, reading only the tiles whose box meets it. ValueError if none does.
+
+    The names of the tiles that are hit stand in the plan as literals, so partition pruning and file statistics
+    apply; beyond 10,000 tiles they are joined instead."""
+    from laserloom.operators.predicates import clip
+
+    hit = prune(extents, ring).select(F.col(tile_id).alias("__tile")).distinct()
+    names = [r[0] for r in hit.limit(10_001).collect()]
+    if not names:
+        raise ValueError("the polygon meets no tile")
+    some = points.where(F.col(by).isin(names)) if len(names) <= 10_000 else points.join(hit, F.col(by) == F.col("__tile"), "left_semi")
+    return clip(some, ring)
+
+
 def clippers_by_tile(regions: DataFrame, extents: DataFrame, region_id: str = "stand_id", tile_id: str = "filename") -> DataFrame:
     """(region, tile) whose boxes overlap, through the codes of the spatial operator; never all pairs.
 

@@ -408,6 +408,14 @@ def e5_tile_pruning(spark, d):
     return tiles.prune(table(spark, d, "extents"), ROI).select("filename")
 
 
+@query(f"""
+WITH e(x1, y1, x2, y2) AS (VALUES {_EDGES}), p AS (SELECT DISTINCT pid, file, x, y FROM points WHERE x IS NOT NULL AND y IS NOT NULL AND file IN (SELECT filename FROM extents WHERE xmin <= 2600060.005 AND xmax >= 2600008.005 AND ymin <= 1150050.005 AND ymax >= 1150005.005))
+SELECT pid, file FROM p, e GROUP BY pid, file
+HAVING sum(CASE WHEN (y1 > y) <> (y2 > y) AND x < (y - y1) * ((x2 - x1) / (y2 - y1)) + x1 THEN 1 ELSE 0 END) % 2 = 1""")
+def f13_clip_tiles(spark, d):
+    return tiles.clip_tiled(pts(spark, d), table(spark, d, "extents"), ROI).select("pid", "file").distinct()
+
+
 @query("""SELECT s.stand_id AS region, e.filename AS tile FROM stands s JOIN extents e ON s.xmin <= e.xmax AND s.xmax >= e.xmin AND s.ymin <= e.ymax AND s.ymax >= e.ymin""")
 def j8_clippers_by_tile(spark, d):
     return tiles.clippers_by_tile(table(spark, d, "stands"), table(spark, d, "extents"))
