@@ -93,3 +93,10 @@ def point_percentiles(points: DataFrame, *, error: float = ERROR) -> DataFrame:
     keys = ["dim", "key", "field"]
     got = percentiles(merge(union, keys), keys, error=error)
     return got.select(*keys, "n", *[F.round(c, 6).alias(c) for c in QUANTILES])
+
+
+def cell_percentiles(points: DataFrame, *, error: float = ERROR) -> DataFrame:
+    """point_source_id, label, file, day, field, n and percentiles for each combination that has points."""
+    keys = ["point_source_id", "label", "file", "day", "field"]
+    got = percentiles(by_field(distinct_readings(points, error=error), keys[:-1]), keys, error=error)
+    return got.select(*keys, "n", *[F.round(c, 6).alias(c) for c in QUANTILES])

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from laserloom.llm.bpe import encode_texts
 from laserloom.llm.nearest_time import returns_with_trajectory
 from laserloom.llm.packing import pack_documents
-from laserloom.llm.percentiles import point_percentiles
+from laserloom.llm.percentiles import cell_percentiles, point_percentiles
 from laserloom.llm.reading import unlabelled_levels
 from laserloom.session import table
 
@@ -24,6 +24,10 @@ def p3_percentiles(spark: SparkSession, d: str) -> DataFrame:
     return point_percentiles(table(spark, d, "points"))
 
 
+def p3_by_cell(spark: SparkSession, d: str) -> DataFrame:
+    return cell_percentiles(table(spark, d, "points"))
+
+
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     return encode_texts(table(spark, d, "documents"), "text", keep=["doc_id"])
 
@@ -36,7 +40,7 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return unlabelled_levels(table(spark, d, "documents"), table(spark, d, "reading_labels"))
 
 
-QUERIES: dict[str, Query] = {"p1_found": p1_found, "p3_percentiles": p3_percentiles, "p6_ids": p6_ids, "p7_containers": p7_containers, "p8_found": p8_found}
+QUERIES: dict[str, Query] = {"p1_found": p1_found, "p3_percentiles": p3_percentiles, "p3_by_cell": p3_by_cell, "p6_ids": p6_ids, "p7_containers": p7_containers, "p8_found": p8_found}
 ORACLES: dict[str, str] = {}
 
 ORACLES["p1_found"] = """
@@ -54,22 +58,33 @@ SELECT pid, rec_id FROM (
 
 _G = "ln(1.01 / 0.99)"
 _B = f"CASE WHEN abs(v) < 1e-9 THEN 0 ELSE sign(v) * (ceil(ln(abs(v)) / {_G}) + 1000000) END"
-ORACLES["p3_percentiles"] = f"""
+_QS = (("p05", 0.05), ("p25", 0.25), ("p50", 0.5), ("p75", 0.75), ("p95", 0.95))
+
+
+def _percentiles_sql(keys: str, source: str) -> str:
+    return f"""
 WITH d AS (SELECT DISTINCT pid, point_source_id, label, file, gps_time, intensity, z FROM points),
 k AS (SELECT *, CAST(floor((gps_time + 1e9 + 315964800 - CASE WHEN gps_time + 1e9 < 1119744017 THEN 16 WHEN gps_time + 1e9 < 1167264018 THEN 17 ELSE 18 END) / 86400) AS INT) AS day FROM d),
 f AS (SELECT point_source_id, label, file, day, 'intensity' AS field, intensity AS v FROM k
       UNION ALL SELECT point_source_id, label, file, day, 'z', z FROM k),
 b AS (SELECT *, CAST({_B} AS BIGINT) AS bucket FROM f WHERE v IS NOT NULL AND NOT isnan(v) AND NOT isinf(v)),
-g AS (SELECT 'point_source_id' AS dim, CAST(point_source_id AS VARCHAR) AS key, field, bucket FROM b
-      UNION ALL SELECT 'label', CAST(label AS VARCHAR), field, bucket FROM b
-      UNION ALL SELECT 'file', file, field, bucket FROM b
-      UNION ALL SELECT 'day', CAST(day AS VARCHAR), field, bucket FROM b),
-r AS (SELECT dim, key, field, bucket, row_number() OVER (PARTITION BY dim, key, field ORDER BY bucket) AS k,
-        count(*) OVER (PARTITION BY dim, key, field) AS n FROM g),
-q AS (SELECT dim, key, field, max(n) AS n,
-        {", ".join(f"min(CASE WHEN k >= greatest(1, ceil(n * {q} - 1e-9)) THEN bucket END) AS {c}" for c, q in (("p05", 0.05), ("p25", 0.25), ("p50", 0.5), ("p75", 0.75), ("p95", 0.95)))}
-      FROM r GROUP BY dim, key, field)
-SELECT dim, key, field, n,
-  {", ".join(f"round(CASE WHEN {c} = 0 THEN 0.0 ELSE sign({c}) * (2.0 / (1.01 / 0.99 + 1)) * pow(1.01 / 0.99, abs({c}) - 1000000) END, 6) AS {c}" for c in ("p05", "p25", "p50", "p75", "p95"))}
+g AS ({source}),
+r AS (SELECT {keys}, field, bucket, row_number() OVER (PARTITION BY {keys}, field ORDER BY bucket) AS k,
+        count(*) OVER (PARTITION BY {keys}, field) AS n FROM g),
+q AS (SELECT {keys}, field, max(n) AS n,
+        {", ".join(f"min(CASE WHEN k >= greatest(1, ceil(n * {q} - 1e-9)) THEN bucket END) AS {c}" for c, q in _QS)}
+      FROM r GROUP BY {keys}, field)
+SELECT {keys}, field, n,
+  {", ".join(f"round(CASE WHEN {c} = 0 THEN 0.0 ELSE sign({c}) * (2.0 / (1.01 / 0.99 + 1)) * pow(1.01 / 0.99, abs({c}) - 1000000) END, 6) AS {c}" for c, _ in _QS)}
 FROM q
 """
+
+
+ORACLES["p3_percentiles"] = _percentiles_sql(
+    "dim, key",
+    """SELECT 'point_source_id' AS dim, CAST(point_source_id AS VARCHAR) AS key, field, bucket FROM b
+      UNION ALL SELECT 'label', CAST(label AS VARCHAR), field, bucket FROM b
+      UNION ALL SELECT 'file', file, field, bucket FROM b
+      UNION ALL SELECT 'day', CAST(day AS VARCHAR), field, bucket FROM b""",
+)
+ORACLES["p3_by_cell"] = _percentiles_sql("point_source_id, label, file, day", "SELECT * FROM b")
