@@ -60,7 +60,11 @@ def medoid(df: DataFrame, keys: Sequence[str], axes: Sequence[str], row_id: str)
     taken: two linear passes instead of all pairs. A single row has a null ssd."""
     d = df.where(" and ".join(f"{a} is not null" for a in axes)).select(*keys, row_id, *axes)
     c = d.groupBy(*keys).agg(F.count("*").alias("__n"), *[F.avg(a).alias(f"__c_{a}") for a in axes], *[F.var_pop(a).alias(f"__v_{a}") for a in axes])
-    j = d.join(c, list(keys)) if keys else d.crossJoin(c)  # no keys: c is a single row
+    if keys:
+        j = d.join(c, list(keys))
+    else:  # one group: its few statistics become literals
+        one = c.first()
+        j = d.withColumns({k: F.lit(one[k]) for k in c.columns})
     dist = sum((F.pow(F.col(a) - F.col(f"__c_{a}"), 2) for a in axes), F.lit(0.0))
     ssd = F.col("__n") * F.col("__d") + F.col("__n") * sum((F.col(f"__v_{a}") for a in axes), F.lit(0.0))
     j = j.withColumn("__d", dist)

@@ -281,11 +281,11 @@ def clip_features(features: DataFrame, box: tuple[float, float, float, float]) -
     """Features cut to a box; those of which nothing is left are dropped. Bounds are not renewed."""
     x0, y0, x1, y1 = box
 
-    @F.udf(features.schema["parts"].dataType)
+    @F.udf(features.schema["parts"].dataType, useArrow=True)
     def cut(kind, parts):
         out = []
         for p in parts or []:
-            r = [tuple(v) for v in p]
+            r = [tuple(v[k] for k in "xyzm") for v in p]
             if kind == "Polygon":
                 if len(r) > 1 and r[0] == r[-1]:
                     r = r[:-1]
