@@ -21,9 +21,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from laserloom.operators.streams import groups
+from laserloom.session import materialise
+
+_ARROW = pa.schema([("kind", pa.int32()), ("field", pa.string()), ("source", pa.int64()), ("rec_id", pa.int64()), ("value", pa.float64()), ("n", pa.int64())])
 
 
 @dataclass(frozen=True)
@@ -34,7 +36,9 @@ class Rule:
     in units of the field, or in octaves if log; k: the departure in robust standard deviations of
     the clean readings around; up_only: low values are no fault (dark targets); context: clean
     readings taken on either side; profile: readings in a row of the matrix; run: equal readings that
-    make a stuck value; drift: change per second that a gap in the readings may hide."""
+    make a stuck value; drift: change per second that a gap in the readings may hide; scale: if set, a
+    departure must also be so many times the mean deviation of the whole source's readings from the level
+    of their profile."""
 
     field: str
     possible: tuple[float, float]
@@ -46,13 +50,14 @@ class Rule:
     profile: int = 128
     run: int = 8
     drift: float = 0.0
+    scale: float = 0.0
 
 
-#: Returns: heights vary by relief and canopy up to tens of metres, brightness by factors.
-Z = Rule("z", (-500.0, 9000.0), floor=47.0)
+#: Returns: heights vary by relief and canopy, on each line by its own measure; brightness varies by factors.
+Z = Rule("z", (-500.0, 9000.0), floor=5.0, k=1.5, scale=9.2)
 INTENSITY = Rule("intensity", (0.0, np.inf), floor=2.75, k=2.0, log=True, up_only=True)
 #: The sensor climbs, but smoothly.
-ALTITUDE = Rule("altitude", (-500.0, 20000.0), floor=4.0, k=6.0, context=15, profile=64, drift=6.0)
+ALTITUDE = Rule("altitude", (-500.0, 20000.0), floor=6.0, k=6.0, context=15, profile=64, drift=6.0)
 
 
 def principal(m: np.ndarray, steps: int = 25) -> np.ndarray:
@@ -102,8 +107,9 @@ def runs(v: np.ndarray, least: int) -> np.ndarray:
     return np.repeat(length >= least, length)
 
 
-def candidates(v: np.ndarray, usable: np.ndarray, rule: Rule) -> np.ndarray:
-    """Readings with a large sparse part. v: readings in order; unusable ones are filled for the matrix."""
+def candidates(v: np.ndarray, usable: np.ndarray, rule: Rule) -> tuple[np.ndarray, np.ndarray]:
+    """(readings with a large sparse part, deviation of each from the level of its profile). v: readings in
+    order; unusable ones are filled for the matrix."""
     n, width = len(v), min(rule.profile, len(v))
     rows = -(-n // width)
     good = v[usable]
@@ -121,40 +127,75 @@ def candidates(v: np.ndarray, usable: np.ndarray, rule: Rule) -> np.ndarray:
     low = principal(own + np.clip(x - own, -cut, cut))
     rest = np.abs(x - low).ravel()[:n]
     sigma = 1.4826 * np.median(rest[usable])
-    return (rest > np.maximum(3 * sigma, 0.3 * rule.floor / scale)) & usable
+    off = np.abs(v - np.broadcast_to(level, (rows, width)).ravel()[:n])
+    return (rest > np.maximum(3 * sigma, 0.3 * rule.floor / scale)) & usable, off
 
 
-def faults(values: np.ndarray, rule: Rule, seconds: np.ndarray | None = None) -> np.ndarray:
-    """The cases among the readings of one source, given in order, without nulls."""
-    out = ~((values >= rule.possible[0]) & (values <= rule.possible[1]))
-    stuck = runs(values, rule.run) & ~out
-    rest = ~out & ~stuck
+@dataclass
+class Findings:
+    """sure: cases whatever the rest of the source looks like; suspects (positions) with their departures count if
+    these are large by the measure of the whole source, to which total and count of deviations go."""
+
+    sure: np.ndarray
+    suspects: np.ndarray
+    departures: np.ndarray
+    total: float
+    count: int
+
+
+def examine(values: np.ndarray, rule: Rule, seconds: np.ndarray | None = None, own: np.ndarray | None = None) -> Findings:
+    """Judge the readings of a stretch of one source, given in order, without nulls. own: those whose deviations
+    are added up here (the others are added up elsewhere)."""
+    sure = ~((values >= rule.possible[0]) & (values <= rule.possible[1]))
+    stuck = runs(values, rule.run) & ~sure
+    rest = ~sure & ~stuck
     if stuck.any():
         w = values[rest]
         if len(w) >= 2 and (w != w[0]).any():
-            out |= stuck  # a run counts where the source's values vary
+            sure |= stuck  # a run counts where the source's values vary
         else:
             rest |= stuck
     v = np.log2(np.maximum(values, 0) + 0.5) if rule.log else values.astype(float)
     v = np.where(rest, v, 0.0)
     t = np.zeros(len(v)) if seconds is None else seconds
+    own = np.ones(len(v), bool) if own is None else own
+    far: dict[int, float] = {}
+    total, count = 0.0, 0
     for _ in range(3):  # again without the cases found, as a burst may hide some of its own
         if rest.sum() < 2 * rule.run:
             break
-        hit = _departures(v, t, rest, rule)
-        if not len(hit):
+        cand, off = candidates(v, rest, rule)
+        mean = off[rest].mean()
+        total, count = float(off[rest & own].sum()), int((rest & own).sum())
+        least = max(rule.floor, 0.4 * rule.scale * mean)
+        hit, by = _departures(v, t, rest, cand, rule, least)
+        far.update(zip(hit.tolist(), by.tolist()))
+        gone = hit[by >= max(rule.floor, rule.scale * mean)]
+        if not len(gone):
             break
-        out[hit] = True
-        rest[hit] = False
+        rest[gone] = False
+    pos = np.array(sorted(far), np.int64)
+    by = np.array([far[k] for k in pos.tolist()], float)
+    if not rule.scale:
+        sure[pos] = True
+        pos, by = pos[:0], by[:0]
+    return Findings(sure, pos, by, total, count)
+
+
+def faults(values: np.ndarray, rule: Rule, seconds: np.ndarray | None = None) -> np.ndarray:
+    """The cases among the readings of a whole source, given in order, without nulls."""
+    f = examine(np.asarray(values, float), rule, seconds)
+    out = f.sure.copy()
+    if f.count:
+        out[f.suspects[f.departures >= max(rule.floor, rule.scale * f.total / f.count)]] = True
     return out
 
 
-def _departures(v: np.ndarray, t: np.ndarray, rest: np.ndarray, rule: Rule) -> np.ndarray:
-    """Candidates that the exact check confirms (positions)."""
-    cand = candidates(v, rest, rule)
+def _departures(v: np.ndarray, t: np.ndarray, rest: np.ndarray, cand: np.ndarray, rule: Rule, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Candidates that the exact check confirms (positions), and how far they lie beyond what is around them."""
     clean, which = np.flatnonzero(rest & ~cand), np.flatnonzero(cand)
     if not len(which) or len(clean) < rule.run:
-        return which[:0]
+        return which[:0], np.zeros(0)
     at = np.searchsorted(clean, which)
     offs = np.arange(rule.context)
     near, when = v[clean], t[clean]
@@ -174,14 +215,15 @@ def _departures(v: np.ndarray, t: np.ndarray, rest: np.ndarray, rule: Rule) -> n
 
     lm, ld, ls = side(at[:, None] - 1 - offs)
     rm, rd, rs = side(at[:, None] + offs)
-    limit = np.maximum(rule.k * 1.4826 * np.fmax(ld, rd), rule.floor)
+    limit = np.maximum(rule.k * 1.4826 * np.fmax(ld, rd), least)
     x = v[which]
     left = np.isnan(rm) | (ls <= rs) & ~np.isnan(lm)  # the side nearer in time
     mid, slack = np.where(left, lm, rm), np.where(left, ls, rs)
-    far = (x > np.fmax(lm, rm) + limit) & (x > mid + slack + limit)
+    beyond = np.fmin(x - np.fmax(lm, rm), x - mid - slack)
     if not rule.up_only:
-        far |= (x < np.fmin(lm, rm) - limit) & (x < mid - slack - limit)
-    return which[far]
+        beyond = np.fmax(beyond, np.fmin(np.fmin(lm, rm) - x, mid - slack - x))
+    far = beyond > limit
+    return which[far], beyond[far]
 
 
 def flag(
@@ -202,7 +244,8 @@ def flag(
     are passed over. Exact duplicates count once; ties in time are ordered by `tie`, then row_id. A
     source with fewer than 2 * run readings within reach is tested for impossible values and runs only.
     Empty tables give no rows. Columns that are not named here are not read. bucket and halo are seconds;
-    one shuffle, of the named columns only.
+    one large shuffle, of the named columns only. Rules with a scale write what they found to the shared folder and
+    hold it against the mean deviation of each whole source.
     """
     fields = [r.field for r in rules]
     t, lit = F.col("__t"), F.lit
@@ -216,30 +259,42 @@ def flag(
     order = ["__s", "__b", "__t", *[f"__o{i}" for i in range(len(tie))], "__id"]
     rows = rows.repartition("__s", "__b").sortWithinPartitions(*order)
     overlap = 4 * max(r.profile for r in rules)
-    schema = T.StructType([T.StructField("field", T.StringType()), T.StructField("rec_id", T.LongType())])
+    schema = "kind int, field string, source long, rec_id long, value double, n long"
+    names = ["kind", "field", "source", "rec_id", "value", "n"]
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, first, last in groups(batches, ("__s", "__b"), most, overlap):
-            col = lambda c: table.column(c).to_numpy()
-            ids, mine, when = col("__id"), col("__own").copy(), col("__t")
+            col = lambda c: table.column(c).to_numpy()  # noqa: B023, E731
+            ids, mine, when, source = col("__id"), col("__own").copy(), col("__t"), int(table.column("__s")[0].as_py())
             mine[:first], mine[last:] = False, False
             if not mine.any():
                 continue
             once = np.append(True, ids[1:] != ids[:-1])
-            found_f, found_i = [], []
+            rows: list[tuple] = []
             for i, rule in enumerate(rules):
                 v = table.column(f"__f{i}").to_numpy()
                 sel = np.flatnonzero(once & ~np.isnan(v))
                 if not len(sel):
                     continue
-                hit = sel[faults(v[sel], rule, when[sel])]
-                hit = hit[mine[hit]]
-                found_i.append(ids[hit])
-                found_f += [rule.field] * len(hit)
-            if found_f:
-                yield pa.RecordBatch.from_arrays([pa.array(found_f), pa.array(np.concatenate(found_i))], names=["field", "rec_id"])
-
-    return rows.mapInArrow(judge, schema).distinct()
+                f = examine(v[sel], rule, when[sel], mine[sel])
+                hit = sel[f.sure]
+                rows += [(0, rule.field, source, int(k), 0.0, 0) for k in ids[hit[mine[hit]]]]
+                if rule.scale:
+                    rows += [(1, rule.field, source, int(ids[k]), float(d), 0) for k, d in zip(sel[f.suspects], f.departures) if mine[k]]
+                    rows.append((2, rule.field, source, None, f.total, f.count))
+            if rows:
+                yield pa.RecordBatch.from_pydict(dict(zip(names, map(list, zip(*rows)))), schema=_ARROW)
+
+    found = rows.mapInArrow(judge, schema)
+    relative = {r.field: r for r in rules if r.scale}
+    if not relative:
+        return found.select("field", "rec_id").distinct()
+    # a small table: cases, suspects and one row per bucket; suspects are then held against their whole source
+    found = materialise(found, "spikes")
+    scale = found.where("kind = 2").groupBy("field", "source").agg(F.try_divide(F.sum("value"), F.sum("n")).alias("mean"))
+    least = F.coalesce(*[F.when(F.col("field") == f, F.greatest(F.lit(r.floor), F.lit(r.scale) * F.col("mean"))) for f, r in relative.items()])
+    far = found.where("kind = 1").join(scale, ["field", "source"]).where(F.col("value") >= least)
+    return found.where("kind = 0").select("field", "rec_id").unionByName(far.select("field", "rec_id")).distinct()
 
 
 def implausible_readings(points: DataFrame, sbet: DataFrame) -> DataFrame:
