@@ -34,14 +34,14 @@ def test_each_line_has_its_own_measure():
     r = np.random.RandomState(8)
     flat = 1000 + r.rand(2000) * 3 * (r.rand(2000) < 0.6)
     flat[[50, 900]] += [20, -25]
-    tall = 1000 + r.rand(2000) * 34 * (r.rand(2000) < 0.5)
+    flat, tall = flat + r.rand(2000) * 0.05, 1000 + r.rand(2000) * 0.05 + r.rand(2000) * 34 * (r.rand(2000) < 0.5)
     tall[700] += 150
     assert found(flat) == {50, 900} and found(tall) == {700}
 
 
 def test_a_quiet_stretch_is_judged_by_its_whole_line(spark):
     r = np.random.RandomState(9)
-    v = 1000 + np.where(np.arange(6000) < 3000, r.rand(6000) * 0.4, r.rand(6000) * 30 * (r.rand(6000) < 0.5))
+    v = 1000 + r.rand(6000) * 0.05 + np.where(np.arange(6000) < 3000, r.rand(6000) * 0.4, r.rand(6000) * 30 * (r.rand(6000) < 0.5))
     v[1000] += 25  # a lone tree on the quiet stretch
     v[1500] += 120
     d = spark.createDataFrame([(i, 1, i * 0.02, float(x)) for i, x in enumerate(v)], "id long, line int, t double, z double")
