@@ -25,7 +25,9 @@ def p3_percentiles(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_by_cell(spark: SparkSession, d: str) -> DataFrame:
-    return cell_percentiles(table(spark, d, "points"))
+    got = cell_percentiles(table(spark, d, "points"))
+    # as texts: some of these keys are null
+    return got.withColumns({k: got[k].cast("string") for k in ("point_source_id", "label", "day")})
 
 
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:
@@ -87,4 +89,7 @@ ORACLES["p3_percentiles"] = _percentiles_sql(
       UNION ALL SELECT 'file', file, field, bucket FROM b
       UNION ALL SELECT 'day', CAST(day AS VARCHAR), field, bucket FROM b""",
 )
-ORACLES["p3_by_cell"] = _percentiles_sql("point_source_id, label, file, day", "SELECT * FROM b")
+ORACLES["p3_by_cell"] = _percentiles_sql(
+    "point_source_id, label, file, day",
+    "SELECT CAST(point_source_id AS VARCHAR) AS point_source_id, CAST(label AS VARCHAR) AS label, file, CAST(day AS VARCHAR) AS day, field, bucket FROM b",
+)
