@@ -146,7 +146,13 @@ _raster("a1_rasterize_mean", "mean", "ROUND(avg(z), 5)", digits=5)
 _raster("a1_rasterize_sum", "sum", "ROUND(sum(intensity), 3)", "intensity", 3)
 _raster("a1_rasterize_std", "std", "ROUND(stddev_samp(z), 4)", digits=4)
 _raster("a1_rasterize_median", "median", "ROUND(median(z), 5)", digits=5)
-_raster("a1_rasterize_any", "any", "bool_or(z <> 0)")
+
+
+@query(f"WITH {ref_sql(2.0)} SELECT row, col, CAST(bool_or(z <> 0) AS DOUBLE) AS value FROM c GROUP BY row, col")
+def a1_rasterize_any(spark, d):
+    p = pts(spark, d)
+    return grid.rasterize(p, grid.grid_over(p, 2.0), "z", "any").withColumn("value", F.col("value").cast("double"))
+
 
 
 @query(f"""WITH {ref_sql(2.0)}, n AS (SELECT row, col, classification AS v, count(*) AS n FROM c WHERE classification IS NOT NULL GROUP BY 1, 2, 3),
@@ -297,11 +303,11 @@ def g10_heights_above_ground(spark, d):
     return h.select("pid", r(F.when(F.col("z").isNotNull(), F.col("h")), 6, "h"))
 
 
-@query(f"""WITH {ref_sql(2.0)}, i AS (SELECT row, col, avg(intensity) AS v FROM c GROUP BY row, col) SELECT row, col, CASE WHEN v >= 17000 THEN 2 WHEN v >= 7500 THEN 1 WHEN v IS NOT NULL THEN 0 END AS cls FROM i""")
+@query(f"""WITH {ref_sql(2.0)}, i AS (SELECT row, col, avg(intensity) AS v FROM c GROUP BY row, col) SELECT row, col, CAST(CASE WHEN v >= 17000 THEN 2 WHEN v >= 7500 THEN 1 WHEN v IS NOT NULL THEN 0 END AS DOUBLE) AS cls FROM i""")
 def g14_threshold_classes(spark, d):
     p = pts(spark, d)
     x = grid.rasterize(p, grid.grid_over(p, 2.0), "intensity", "mean")
-    return x.select("row", "col", predicates.threshold_classes(F.col("value"), [7500, 17000]).alias("cls"))
+    return x.select("row", "col", predicates.threshold_classes(F.col("value"), [7500, 17000]).cast("double").alias("cls"))
 
 
 @query(f"""WITH {_mask_sql(2.0, 1)}, e(i, j) AS (VALUES {", ".join(f"({i}, {j})" for i, j, _ in grid.offsets(2))}),
@@ -429,12 +435,12 @@ def j9_o5_common_records(spark, d):
     return tiles.merge_records(rec)
 
 
-@query("""SELECT pid, x, y, z, red, 1 AS part FROM points WHERE classification = 2 UNION ALL SELECT pid, x, y, z, 0, 2 FROM points WHERE classification = 9""")
+@query("""SELECT pid, x, y, z, CAST(red AS DOUBLE) AS red, 1 AS part FROM points WHERE classification = 2 UNION ALL SELECT pid, x, y, z, 0.0, 2 FROM points WHERE classification = 9""")
 def o4_w7_merge_points(spark, d):
     p = pts(spark, d)
     a = p.where("classification = 2").select("pid", "x", "y", "z", "red")
     b = p.where("classification = 9").select("pid", "x", "y", "z", "blue")
-    return tiles.merge_points([a, b], source="part")
+    return tiles.merge_points([a, b], source="part").withColumn("red", F.col("red").cast("double"))
 
 
 @query("SELECT DISTINCT label FROM points WHERE label IN (SELECT label FROM tree_metrics) EXCEPT SELECT label FROM tree_metrics WHERE h < 0")
