@@ -39,7 +39,7 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share. Taken from spark.checkpoint.dir; only where that is unset
     (tests, local mode) a temporary folder of this machine is set and used."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
         found = tempfile.mkdtemp(prefix="laserloom-")
         spark.conf.set("spark.checkpoint.dir", found)
