@@ -50,10 +50,10 @@ def fill_linear(values: np.ndarray) -> np.ndarray:
 
 
 def linear_cells(cells: DataFrame, ref: grid.GridRef, value: str = "value", tile: int = 64, halo: int = 32) -> DataFrame:
-    """Every cell of the grid with its value, interpolated where it has none; null where no triangle within
+    """The given cells with their values, interpolated where they have none; null where no triangle within
     `halo` cells covers it."""
-    dense = grid.densify(cells.select("row", "col", F.col(value).cast("double").alias("v")), ref, "v")
-    got = grid.tiled(dense, ["v"], tile, halo, lambda a, present, r0, c0: {"f": fill_linear(a["v"])}, {"f": T.DoubleType()})
+    d = cells.select("row", "col", F.col(value).cast("double").alias("v"))
+    got = grid.tiled(d, ["v"], tile, halo, lambda a, present, r0, c0: {"f": fill_linear(a["v"])}, {"f": T.DoubleType()})
     return got.select("row", "col", F.when(~F.isnan("f"), F.col("f")).alias(value))
 
 
@@ -89,9 +89,9 @@ def fill_natural(values: np.ndarray, reach: int = 24) -> np.ndarray:
 
 
 def natural_cells(cells: DataFrame, ref: grid.GridRef, value: str = "value", tile: int = 64, halo: int = 48) -> DataFrame:
-    """Every cell of the grid by natural neighbours within half of `halo` cells; null where there is no node so near."""
-    dense = grid.densify(cells.select("row", "col", F.col(value).cast("double").alias("v")), ref, "v")
-    got = grid.tiled(dense, ["v"], tile, halo, lambda a, present, r0, c0: {"f": fill_natural(a["v"], halo // 2)}, {"f": T.DoubleType()})
+    """The given cells by natural neighbours within half of `halo` cells; null where there is no node so near."""
+    d = cells.select("row", "col", F.col(value).cast("double").alias("v"))
+    got = grid.tiled(d, ["v"], tile, halo, lambda a, present, r0, c0: {"f": fill_natural(a["v"], halo // 2)}, {"f": T.DoubleType()})
     return got.select("row", "col", F.when(~F.isnan("f"), F.col("f")).alias(value))
 
 

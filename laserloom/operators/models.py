@@ -30,27 +30,36 @@ def density_summary(density: DataFrame, value: str = "density_overall") -> DataF
     return density.agg(F.median(v).alias("median"), F.avg(v).alias("mean"), F.max(v).alias("max"), F.stddev_samp(v).alias("std"))
 
 
-def terrain_model(points: DataFrame, ref: GridRef, *, class_terrain: Sequence[int] = (2, 9), method: str = "idw", radius: float = math.inf, weight: Callable[[float], float] = grid.cubic, kernel: list[list[float]] | None = None) -> DataFrame:
-    """row, col, terrain on the whole grid: cell means of the ground returns, interpolated (idw, nearest, linear or natural), then
+def _over(cells: DataFrame, ref: GridRef, within: DataFrame | None) -> DataFrame:
+    """cells on the whole grid, or only on the cells of `within` (and their own), with nulls where they have none."""
+    if within is None:
+        return grid.densify(cells, ref)
+    where = within.select("row", "col").unionByName(cells.select("row", "col")).distinct()
+    return where.join(cells, ["row", "col"], "left")
+
+
+def terrain_model(points: DataFrame, ref: GridRef, *, class_terrain: Sequence[int] = (2, 9), method: str = "idw", radius: float = math.inf, weight: Callable[[float], float] = grid.cubic, kernel: list[list[float]] | None = None, within: DataFrame | None = None) -> DataFrame:
+    """row, col, terrain on the whole grid (or on the cells of `within`, if nothing is smoothed): cell means of the ground returns, interpolated (idw, nearest, linear or natural), then
     filled from the nearest cell and smoothed. ValueError without a ground return."""
     ground = points.where(F.col("classification").isin(*class_terrain) & F.col("z").isNotNull())
+    within = None if kernel is not None else within
     cells = materialise(grid.rasterize(ground, ref, "z", "mean"), "ground")
     if not cells.head(1):
         raise ValueError("no ground return")
     if method == "nearest":
-        full = grid.nearest_fill(grid.densify(cells, ref), ref).select("row", "col", "value")
+        full = grid.nearest_fill(_over(cells, ref, within), ref).select("row", "col", "value")
     elif method == "idw":
         if math.isinf(radius):
-            reach = grid.nearest_fill(grid.densify(cells, ref), ref).agg(F.max("dist")).first()[0]
+            reach = grid.nearest_fill(_over(cells, ref, within), ref).agg(F.max("dist")).first()[0]
             r = max(1, math.ceil(reach))
         else:
             r = math.ceil(radius / abs(ref.dx))
-        full = grid.densify(grid.idw(cells, ref, r, weight), ref)
+        full = _over(grid.idw(cells, ref, r, weight), ref, within)
         full = grid.nearest_fill(full, ref).select("row", "col", "value")
     elif method in ("linear", "natural"):
         from laserloom.geometry.interpolate import linear_cells, natural_cells
 
-        some = (linear_cells if method == "linear" else natural_cells)(cells, ref)
+        some = (linear_cells if method == "linear" else natural_cells)(_over(cells, ref, within), ref)
         full = grid.nearest_fill(some, ref).select("row", "col", "value")
     else:
         raise ValueError(f"method must be idw, nearest, linear or natural, not {method!r}")
@@ -59,10 +68,10 @@ def terrain_model(points: DataFrame, ref: GridRef, *, class_terrain: Sequence[in
     return full.withColumnRenamed("value", "terrain")
 
 
-def surface_model(points: DataFrame, ref: GridRef, *, classes: Sequence[int] = (2, 9, 3, 4, 5, 6), kernel: list[list[float]] | None = None) -> DataFrame:
-    """row, col, surface on the whole grid: highest return of a cell, filled from the nearest, smoothed."""
-    top = grid.rasterize(points.where(F.col("classification").isin(*classes)), ref, "z", "max", dense=True)
-    full = grid.nearest_fill(top, ref).select("row", "col", "value")
+def surface_model(points: DataFrame, ref: GridRef, *, classes: Sequence[int] = (2, 9, 3, 4, 5, 6), kernel: list[list[float]] | None = None, within: DataFrame | None = None) -> DataFrame:
+    """row, col, surface on the whole grid (or on the cells of `within`, if nothing is smoothed): highest return of a cell, filled from the nearest, smoothed."""
+    top = grid.rasterize(points.where(F.col("classification").isin(*classes)), ref, "z", "max")
+    full = grid.nearest_fill(_over(top, ref, None if kernel is not None else within), ref).select("row", "col", "value")
     if kernel is not None:
         full = grid.focal(full, ref, kernel)
     return full.withColumnRenamed("value", "surface")
@@ -74,13 +83,13 @@ def elevation_models(points: DataFrame, ref: GridRef, *, layers: Sequence[str] =
     bad = set(layers) - set(LAYERS)
     if bad:
         raise ValueError(f"unknown layers {sorted(bad)}")
-    out = mask = grid.data_mask(points, ref, closing=closing)
+    out = mask = materialise(grid.data_mask(points, ref, closing=closing), "mask")
     if "density" in layers:
         out = density_models(points, ref, mask, class_terrain, class_surface)
     if {"terrain", "surface", "height"} & set(layers):
-        out = out.join(terrain_model(points, ref, class_terrain=class_terrain, method=method, radius=radius, weight=weight, kernel=kernel), ["row", "col"], "left")
+        out = out.join(terrain_model(points, ref, class_terrain=class_terrain, method=method, radius=radius, weight=weight, kernel=kernel, within=mask), ["row", "col"], "left")
     if {"surface", "height"} & set(layers):
-        out = out.join(surface_model(points, ref, classes=[*class_terrain, *class_surface], kernel=kernel), ["row", "col"], "left")
+        out = out.join(surface_model(points, ref, classes=[*class_terrain, *class_surface], kernel=kernel, within=mask), ["row", "col"], "left")
     if "height" in layers:
         h = F.col("surface") - F.col("terrain")
         out = out.withColumn("height", F.when(h < 0, F.lit(0.0)).otherwise(h))

@@ -266,13 +266,13 @@ def g6_g8_elevation_models(spark, d):
 @query()
 def g3_terrain_linear(spark, d):
     p = pts(spark, d)
-    return models.terrain_model(p, grid.grid_over(p, 5.0), method="linear")
+    return models.elevation_models(p, grid.grid_over(p, 5.0), layers=("terrain",), method="linear")
 
 
 @query()
 def g3_terrain_natural(spark, d):
     p = pts(spark, d)
-    return models.terrain_model(p, grid.grid_over(p, 5.0), method="natural")
+    return models.elevation_models(p, grid.grid_over(p, 5.0), layers=("terrain",), method="natural")
 
 
 @query()
@@ -289,7 +289,7 @@ def m_principal_scores(spark, d):
 @query()
 def g2_terrain_idw_unbounded(spark, d):
     p = pts(spark, d)
-    return models.terrain_model(p, grid.grid_over(p, 10.0), method="idw")
+    return models.elevation_models(p, grid.grid_over(p, 10.0), layers=("terrain",), method="idw")
 
 
 @query("""
@@ -605,7 +605,7 @@ def m_alpha_shape_metrics(spark, d):
 def m_all_metrics(spark, d):
     p = pts(spark, d)
     ref = grid.grid_over(p, 5.0)
-    dtm = materialise(models.terrain_model(p, ref, method="nearest"), "dtm")
+    dtm = materialise(models.elevation_models(p, ref, layers=("terrain",), method="nearest"), "dtm")
     return segments.segment_metrics(p, ["scalar"], dtm=dtm, ref=ref).drop("UUID", "Random")
 
 
