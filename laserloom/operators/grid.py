@@ -12,7 +12,7 @@ from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -228,6 +228,59 @@ def nearest_fill(raster: DataFrame, ref: GridRef, value: str = "value", tile: in
     return out.select("row", "col", F.col("filled").alias(value), "dist")
 
 
+def _farthest(rows: np.ndarray, cols: np.ndarray, first: int, height: int, ncols: int) -> float:
+    """The greatest distance of a cell of the rows first .. first + height - 1 to the nearest of the cells given, of
+    which there are all in these rows, and of each column the nearest above and below them."""
+    at = np.arange(first, first + height)
+    gap = np.full((height, ncols), np.inf)  # within the column
+    order = np.lexsort((rows, cols))
+    rows, cols = rows[order], cols[order]
+    starts = np.flatnonzero(np.append(True, cols[1:] != cols[:-1]))
+    for a, b in zip(starts, np.append(starts[1:], len(cols))):
+        v = rows[a:b]
+        k = np.searchsorted(v, at)
+        gap[:, cols[a] - 1] = np.minimum(np.abs(at - v[np.maximum(k - 1, 0)]), np.abs(at - v[np.minimum(k, len(v) - 1)]))
+    gap *= gap
+    best = gap.copy()
+    r, c = np.indices(best.shape)
+    r, c, d = r.ravel(), c.ravel(), best.ravel()
+    most, k = 0.0, 1
+    while True:  # ever wider to both sides; a cell is done once its distance is no greater than the step
+        done = d <= k * k
+        most = max(most, d[done].max(initial=0.0))
+        r, c, d = r[~done], c[~done], d[~done]
+        if not len(d) or k >= ncols:
+            return math.sqrt(max(most, d.max(initial=0.0)))
+        for side in (np.maximum(c - k, 0), np.minimum(c + k, ncols - 1)):
+            d = np.minimum(d, gap[r, side] + (side - c) ** 2)
+        k += 1
+
+
+def reach(cells: DataFrame, ref: GridRef, value: str = "value") -> float:
+    """The greatest distance, in cells, of any cell of the whole grid to the nearest one with a value.
+
+    Works on bands of rows, each with its own cells and of every column the nearest above and below; no cell without a
+    value is made. 0 for a raster without any value."""
+    band = max(1, min(64, 2_000_000 // max(ref.ncols, 1)))
+    bands = -(-ref.nrows // band)
+    have = cells.where(F.col(value).isNotNull() & ref.inside()).select("row", "col", F.floor((F.col("row") - 1) / band).cast("long").alias("b"))
+    ends = have.groupBy("b", "col").agg(F.min("row").alias("lo"), F.max("row").alias("hi"))
+    every = have.select("col").distinct().crossJoin(cells.sparkSession.range(bands).withColumnRenamed("id", "b")).join(ends, ["b", "col"], "left")
+    before = lambda by: Window.partitionBy("col").orderBy(by).rowsBetween(Window.unboundedPreceding, -1)
+    both = every.withColumns({"above": F.max("hi").over(before(F.asc("b"))), "below": F.min("lo").over(before(F.desc("b")))})
+    beside = both.select("b", F.explode(F.array("above", "below")).alias("row"), "col").where("row is not null")
+
+    def one(key, pdf):
+        import pandas as pd
+
+        first = int(key[0]) * band + 1
+        d = _farthest(pdf["row"].to_numpy(np.int64), pdf["col"].to_numpy(np.int64), first, min(band, ref.nrows - first + 1), ref.ncols)
+        return pd.DataFrame({"d": [d]})
+
+    got = beside.unionByName(have.select("b", "row", "col")).groupBy("b").applyInPandas(one, "d double")
+    return got.agg(F.max("d")).first()[0] or 0.0
+
+
 # ---- neighbourhoods ----------------------------------------------------------------------------
 
 

@@ -50,8 +50,7 @@ def terrain_model(points: DataFrame, ref: GridRef, *, class_terrain: Sequence[in
         full = grid.nearest_fill(_over(cells, ref, within), ref).select("row", "col", "value")
     elif method == "idw":
         if math.isinf(radius):
-            reach = grid.nearest_fill(_over(cells, ref, within), ref).agg(F.max("dist")).first()[0]
-            r = max(1, math.ceil(reach))
+            r = max(1, math.ceil(grid.reach(cells, ref)))  # over the whole grid, whatever cells are asked for
         else:
             r = math.ceil(radius / abs(ref.dx))
         full = _over(grid.idw(cells, ref, r, weight), ref, within)

@@ -140,6 +140,35 @@ def test_models(spark):
     assert len(h) == 102 and abs(h[200] - 25.8) < 1e-6 and h[201] == 0.0 and abs(h[5]) < 1e-6
 
 
+@pytest.mark.parametrize("nrows, ncols", [(150, 9), (40, 70), (1, 30)])
+def test_reach_is_that_of_the_whole_grid(spark, nrows, ncols):
+    r = np.random.RandomState(nrows)
+    at = {(int(r.randint(nrows)) + 1, int(r.randint(ncols)) + 1) for _ in range(5)}
+    ref = grid.GridRef(0.0, 0.0, 1.0, -1.0, nrows, ncols)
+    want = max(min(math.hypot(i - a, j - b) for a, b in at) for i in range(1, nrows + 1) for j in range(1, ncols + 1))
+    d = spark.createDataFrame([(*k, 1.0) for k in sorted(at)] + [(1, 1, None)], "row int, col int, value double")
+    assert grid.reach(d, ref) == pytest.approx(want)
+
+
+def test_unbounded_idw_takes_its_radius_from_the_whole_grid(spark):
+    # two strips of ground and an empty stretch between them, which the data mask leaves out
+    r = np.random.RandomState(5)
+    rows = [(float(x), float(y), float(r.rand() * 50), 2) for x in (0, 1, 24, 25) for y in range(20) if r.rand() < 0.6 or (x, y) in ((0, 0), (25, 19))]
+    p = spark.createDataFrame(rows, "x double, y double, z double, classification int")
+    ref = grid.grid_over(p, 1.0)
+    v = {(round((y - ref.y0) / ref.dy), round((x - ref.x0) / ref.dx)): z for x, y, z, _ in rows}
+    near = lambda i, j: min(math.hypot(i - a, j - b) for a, b in v)
+    radius = math.ceil(max(near(i, j) for i in range(1, ref.nrows + 1) for j in range(1, ref.ncols + 1)))
+
+    def brute(i, j):
+        w = [((math.hypot(i - a, j - b) or 0.001) ** -3.0, z) for (a, b), z in v.items() if math.hypot(i - a, j - b) <= radius]
+        return sum(k * z for k, z in w) / sum(k for k, _ in w)
+
+    got = {(x.row, x.col): x.terrain for x in models.elevation_models(p, ref, layers=("terrain",)).collect()}
+    assert radius > 10 and 0 < len(got) < ref.nrows * ref.ncols
+    assert all(t == pytest.approx(brute(*k), abs=1e-3) for k, t in got.items())
+
+
 def test_linear_interpolation_of_a_plane(spark):
     i, j = np.meshgrid(np.arange(30), np.arange(40), indexing="ij")
     a = 3.0 * i - 2.0 * j
