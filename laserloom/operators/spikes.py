@@ -14,18 +14,21 @@ so a source with a third of all rows spreads over the cluster; a bucket is read
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from laserloom.operators.streams import groups
 from laserloom.session import materialise
 
-_ARROW = pa.schema([("kind", pa.int32()), ("field", pa.string()), ("source", pa.int64()), ("rec_id", pa.int64()), ("value", pa.float64()), ("n", pa.int64())])
+# kinds of rows: a case, a suspect with its departure, sum and count of deviations, an equal stretch with its length, a
+# reading of such a stretch, a least or greatest possible value; bucket, piece and place tell where a stretch begins
+_CASE, _SUSPECT, _SCALE, _STRETCH, _READING, _RANGE = range(6)
+_ARROW = pa.schema([("kind", pa.int32()), ("field", pa.string()), ("source", pa.int64()), ("rec_id", pa.int64()), ("value", pa.float64()), ("n", pa.int64()), ("bucket", pa.int64()), ("piece", pa.int64()), ("place", pa.int64()), ("ends", pa.bool_())])
 
 
 @dataclass(frozen=True)
@@ -107,6 +110,18 @@ def runs(v: np.ndarray, least: int) -> np.ndarray:
     return np.repeat(length >= least, length)
 
 
+def stretches(v: np.ndarray, least: int) -> list[tuple[int, int]]:
+    """(first, end) of the equal stretches of v that have at least `least` readings or touch one of its ends."""
+    if not len(v):
+        return []
+    cut = np.append(np.flatnonzero(np.append(True, v[1:] != v[:-1])), len(v)).tolist()
+    return [(i, j) for i, j in zip(cut[:-1], cut[1:]) if j - i >= least or not i or j == len(v)]
+
+
+def possible(v: np.ndarray, rule: Rule) -> np.ndarray:
+    return (v >= rule.possible[0]) & (v <= rule.possible[1])
+
+
 def candidates(v: np.ndarray, usable: np.ndarray, rule: Rule) -> tuple[np.ndarray, np.ndarray]:
     """(readings with a large sparse part, deviation of each from the level of its profile). v: readings in
     order; unusable ones are filled for the matrix."""
@@ -133,8 +148,9 @@ def candidates(v: np.ndarray, usable: np.ndarray, rule: Rule) -> tuple[np.ndarra
 
 @dataclass
 class Findings:
-    """sure: cases whatever the rest of the source looks like; suspects (positions) with their departures count if
-    these are large by the measure of the whole source, to which total and count of deviations go."""
+    """sure: cases whatever the rest of the source looks like (without runs, which are counted on the whole source);
+    suspects (positions) with their departures count if these are large by the measure of the whole source, to which
+    total and count of deviations go."""
 
     sure: np.ndarray
     suspects: np.ndarray
@@ -146,15 +162,8 @@ class Findings:
 def examine(values: np.ndarray, rule: Rule, seconds: np.ndarray | None = None, own: np.ndarray | None = None) -> Findings:
     """Judge the readings of a stretch of one source, given in order, without nulls. own: those whose deviations
     are added up here (the others are added up elsewhere)."""
-    sure = ~((values >= rule.possible[0]) & (values <= rule.possible[1]))
-    stuck = runs(values, rule.run) & ~sure
-    rest = ~sure & ~stuck
-    if stuck.any():
-        w = values[rest]
-        if len(w) >= 2 and (w != w[0]).any():
-            sure |= stuck  # a run counts where the source's values vary
-        else:
-            rest |= stuck
+    sure = ~possible(values, rule)
+    rest = ~sure & ~runs(values, rule.run)
     v = np.log2(np.maximum(values, 0) + 0.5) if rule.log else values.astype(float)
     v = np.where(rest, v, 0.0)
     t = np.zeros(len(v)) if seconds is None else seconds
@@ -184,8 +193,12 @@ def examine(values: np.ndarray, rule: Rule, seconds: np.ndarray | None = None, o
 
 def faults(values: np.ndarray, rule: Rule, seconds: np.ndarray | None = None) -> np.ndarray:
     """The cases among the readings of a whole source, given in order, without nulls."""
-    f = examine(np.asarray(values, float), rule, seconds)
+    values = np.asarray(values, float)
+    f = examine(values, rule, seconds)
     out = f.sure.copy()
+    w = values[possible(values, rule)]
+    if len(w) and w.min() < w.max():  # a run counts where the source's values vary
+        out |= runs(values, rule.run)
     if f.count:
         out[f.suspects[f.departures >= max(rule.floor, rule.scale * f.total / f.count)]] = True
     return out
@@ -244,8 +257,9 @@ def flag(
     are passed over. Exact duplicates count once; ties in time are ordered by `tie`, then row_id. A
     source with fewer than 2 * run readings within reach is tested for impossible values and runs only.
     Empty tables give no rows. Columns that are not named here are not read. bucket and halo are seconds;
-    one large shuffle, of the named columns only. Rules with a scale write what they found to the shared folder and
-    hold it against the mean deviation of each whole source.
+    one large shuffle, of the named columns only. What is found goes to the shared folder: runs are put together
+    over the whole source, whatever buckets they reach through, and rules with a scale are held against the mean
+    deviation of each whole source.
     """
     fields = [r.field for r in rules]
     t, lit = F.col("__t"), F.lit
@@ -259,13 +273,16 @@ def flag(
     order = ["__s", "__b", "__t", *[f"__o{i}" for i in range(len(tie))], "__id"]
     rows = rows.repartition("__s", "__b").sortWithinPartitions(*order)
     overlap = 4 * max(r.profile for r in rules)
-    schema = "kind int, field string, source long, rec_id long, value double, n long"
-    names = ["kind", "field", "source", "rec_id", "value", "n"]
+    schema = "kind int, field string, source long, rec_id long, value double, n long, bucket long, piece long, place long, ends boolean"
+    names = _ARROW.names
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, piece = None, 0
         for table, first, last in groups(batches, ("__s", "__b"), most, overlap):
             col = lambda c: table.column(c).to_numpy()  # noqa: B023, E731
             ids, mine, when, source = col("__id"), col("__own").copy(), col("__t"), int(table.column("__s")[0].as_py())
+            now = source, int(table.column("__b")[0].as_py())
+            group, piece = now, piece + 1 if now == group else 0
             mine[:first], mine[last:] = False, False
             if not mine.any():
                 continue
@@ -278,23 +295,48 @@ def flag(
                     continue
                 f = examine(v[sel], rule, when[sel], mine[sel])
                 hit = sel[f.sure]
-                rows += [(0, rule.field, source, int(k), 0.0, 0) for k in ids[hit[mine[hit]]]]
+                none = (None, None, None, None)
+                rows += [(_CASE, rule.field, source, int(k), 0.0, 0, *none) for k in ids[hit[mine[hit]]]]
                 if rule.scale:
-                    rows += [(1, rule.field, source, int(ids[k]), float(d), 0) for k, d in zip(sel[f.suspects], f.departures) if mine[k]]
-                    rows.append((2, rule.field, source, None, f.total, f.count))
+                    rows += [(_SUSPECT, rule.field, source, int(ids[k]), float(d), 0, *none) for k, d in zip(sel[f.suspects], f.departures) if mine[k]]
+                    rows.append((_SCALE, rule.field, source, None, f.total, f.count, *none))
+                sel = sel[mine[sel]]
+                w = v[sel]
+                for i, j in stretches(w, rule.run):
+                    rows.append((_STRETCH, rule.field, source, None, float(w[i]), j - i, now[1], piece, i, j == len(w)))
+                    rows += [(_READING, rule.field, source, int(k), 0.0, 0, now[1], piece, i, None) for k in ids[sel[i:j]]]
+                w = w[possible(w, rule)]
+                if len(w):
+                    rows += [(_RANGE, rule.field, source, None, float(x), 0, *none) for x in (w.min(), w.max())]
             if rows:
                 yield pa.RecordBatch.from_pydict(dict(zip(names, map(list, zip(*rows)))), schema=_ARROW)
 
-    found = rows.mapInArrow(judge, schema)
+    # a small table: cases, suspects, the equal stretches at the ends of each bucket, and a few rows per bucket
+    found = materialise(rows.mapInArrow(judge, schema), "spikes")
+    of = lambda kind: found.where(F.col("kind") == kind)
+    out = of(_CASE).select("field", "rec_id").unionByName(_runs(of, rules))
     relative = {r.field: r for r in rules if r.scale}
-    if not relative:
-        return found.select("field", "rec_id").distinct()
-    # a small table: cases, suspects and one row per bucket; suspects are then held against their whole source
-    found = materialise(found, "spikes")
-    scale = found.where("kind = 2").groupBy("field", "source").agg(F.try_divide(F.sum("value"), F.sum("n")).alias("mean"))
-    least = F.coalesce(*[F.when(F.col("field") == f, F.greatest(F.lit(r.floor), F.lit(r.scale) * F.col("mean"))) for f, r in relative.items()])
-    far = found.where("kind = 1").join(scale, ["field", "source"]).where(F.col("value") >= least)
-    return found.where("kind = 0").select("field", "rec_id").unionByName(far.select("field", "rec_id")).distinct()
+    if relative:  # suspects are held against their whole source
+        scale = of(_SCALE).groupBy("field", "source").agg(F.try_divide(F.sum("value"), F.sum("n")).alias("mean"))
+        least = F.coalesce(*[F.when(F.col("field") == f, F.greatest(F.lit(r.floor), F.lit(r.scale) * F.col("mean"))) for f, r in relative.items()])
+        far = of(_SUSPECT).join(scale, ["field", "source"]).where(F.col("value") >= least)
+        out = out.unionByName(far.select("field", "rec_id"))
+    return out.distinct()
+
+
+def _runs(of: Callable[[int], DataFrame], rules: tuple[Rule, ...]) -> DataFrame:
+    """field, rec_id of the readings in runs: stretches that meet at the ends of buckets and pieces are put together, and
+    their whole length counts, if the source's possible values vary."""
+    along = Window.partitionBy("field", "source").orderBy("bucket", "piece", "place")
+    before = lambda c: F.lag(c).over(along)
+    s = of(_STRETCH).withColumn("goes_on", F.coalesce((F.col("place") == 0) & before("ends") & (before("value") == F.col("value")), F.lit(False)))
+    s = s.withColumn("run", F.sum((~F.col("goes_on")).cast("long")).over(along))
+    s = s.withColumn("length", F.sum("n").over(Window.partitionBy("field", "source", "run")))
+    least = F.coalesce(*[F.when(F.col("field") == r.field, F.lit(r.run)) for r in rules])
+    key = ["field", "source", "bucket", "piece", "place"]
+    vary = of(_RANGE).groupBy("field", "source").agg(F.min("value").alias("lo"), F.max("value").alias("hi")).where("lo < hi").select("field", "source")
+    long = s.where(F.col("length") >= least).select(*key).join(vary, ["field", "source"], "left_semi")
+    return of(_READING).join(long, key, "left_semi").select("field", "rec_id")
 
 
 def implausible_readings(points: DataFrame, sbet: DataFrame) -> DataFrame:

@@ -69,6 +69,22 @@ def test_runs():
     assert found([5.0] * 3) == set() and found([]) == set() and found([-9999.0]) == {0}
 
 
+@pytest.mark.parametrize("most", [200_000, 60])
+def test_runs_are_counted_on_the_whole_line(spark, most):
+    n, r = 3000, np.random.RandomState(6)
+    v = line(n, 6)
+    v[400:1900] = v[400]  # stuck through whole buckets of 350 readings
+    t = np.arange(n) * 0.02
+    v[2446:2454] = v[2446]  # eight, four of them on either side of a bucket's end and a gap beyond the halo
+    t[2450:] += 5 * 7.0
+    v[2796:2803] = v[2796]  # seven across the next end
+    rows = [(i, 1, float(a), float(b)) for i, (a, b) in enumerate(zip(t, v))]
+    rows += [(10_000 + i, 2, i * 0.02, 7.0) for i in range(1000)]  # a line that never varies
+    d = spark.createDataFrame([rows[i] for i in r.permutation(len(rows))], "id long, line int, t double, z double")
+    got = {x.rec_id for x in spikes.flag(d, row_id="id", source="line", time="t", rules=(spikes.Z,), bucket=7.0, most=most).collect()}
+    assert got == {*range(400, 1900), *range(2446, 2454)}
+
+
 def test_climbs_and_gaps():
     t = np.sort(np.concatenate([np.arange(0, 60, 0.1), np.arange(66, 90, 0.1)]))
     v = 2000 + 2.5 * t + np.random.RandomState(2).randn(len(t)) * 0.05
