@@ -15,7 +15,7 @@ so a source with a third of all rows spreads over the cluster; a bucket is read
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -170,6 +170,13 @@ def examine(values: np.ndarray, rule: Rule, seconds: np.ndarray | None = None, o
     own = np.ones(len(v), bool) if own is None else own
     far: dict[int, float] = {}
     total, count = 0.0, 0
+    if rest.sum() < 2 * rule.run:
+        far = _few(v, t, rest, rule)
+        kept = rest.copy()
+        kept[list(far)] = False
+        if kept.any():
+            off = np.abs(v - np.median(v[kept]))
+            total, count = float(off[kept & own].sum()), int((kept & own).sum())
     for _ in range(3):  # again without the cases found, as a burst may hide some of its own
         if rest.sum() < 2 * rule.run:
             break
@@ -204,8 +211,21 @@ def faults(values: np.ndarray, rule: Rule, seconds: np.ndarray | None = None) ->
     return out
 
 
-def _departures(v: np.ndarray, t: np.ndarray, rest: np.ndarray, cand: np.ndarray, rule: Rule, least: float) -> tuple[np.ndarray, np.ndarray]:
-    """Candidates that the exact check confirms (positions), and how far they lie beyond what is around them."""
+def _few(v: np.ndarray, t: np.ndarray, rest: np.ndarray, rule: Rule) -> dict[int, float]:
+    """Departures (by position) where there are too few readings for profiles: each is held against the up to five on
+    either side of it, of which at least three in all."""
+    near = replace(rule, context=5, run=3)
+    far: dict[int, float] = {}
+    for k in np.flatnonzero(rest):
+        cand = np.arange(len(v)) == k
+        hit, by = _departures(v, t, rest, cand, near, rule.floor, few=1)
+        far.update(zip(hit.tolist(), by.tolist()))
+    return far
+
+
+def _departures(v: np.ndarray, t: np.ndarray, rest: np.ndarray, cand: np.ndarray, rule: Rule, least: float, few: int = 3) -> tuple[np.ndarray, np.ndarray]:
+    """Candidates that the exact check confirms (positions), and how far they lie beyond what is around them. A side
+    with less than `few` clean readings says nothing."""
     clean, which = np.flatnonzero(rest & ~cand), np.flatnonzero(cand)
     if not len(which) or len(clean) < rule.run:
         return which[:0], np.zeros(0)
@@ -218,12 +238,12 @@ def _departures(v: np.ndarray, t: np.ndarray, rest: np.ndarray, cand: np.ndarray
         ok = (pos >= 0) & (pos < len(clean))
         held = np.clip(pos, 0, len(clean) - 1)
         w = np.where(ok, near[held], np.nan)
-        few = ok.sum(1) < 3
-        w[few, :] = 0.0
+        none = ok.sum(1) < few
+        w[none, :] = 0.0
         med = np.nanmedian(w, axis=1)
         dev = np.nanmedian(np.abs(w - med[:, None]), axis=1)
         slack = rule.drift * np.abs(when[held[:, 0]] - t[which])
-        med[few], dev[few], slack[few] = np.nan, np.nan, 0.0
+        med[none], dev[none], slack[none] = np.nan, np.nan, 0.0
         return med, dev, slack
 
     lm, ld, ls = side(at[:, None] - 1 - offs)
@@ -255,7 +275,8 @@ def flag(
 
     df's rows with null row_id, source or time (NaN counts as null) take no part; null and NaN readings
     are passed over. Exact duplicates count once; ties in time are ordered by `tie`, then row_id. A
-    source with fewer than 2 * run readings within reach is tested for impossible values and runs only.
+    stretch with fewer than 2 * run readings within reach has no profiles: there each reading is held against those
+    next to it; fewer than four within reach are tested for impossible values and runs only.
     Empty tables give no rows. Columns that are not named here are not read. bucket and halo are seconds;
     one large shuffle, of the named columns only. What is found goes to the shared folder: runs are put together
     over the whole source, whatever buckets they reach through, and rules with a scale are held against the mean

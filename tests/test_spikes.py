@@ -93,6 +93,22 @@ def test_climbs_and_gaps():
     assert found(v, spikes.ALTITUDE, t) == {10, 300, len(v) - 3}
 
 
+def test_short_lines():
+    r = np.random.RandomState(7)
+    t = np.arange(12.0)
+    v = 2000 + 2.5 * t + r.randn(12) * 0.05
+    assert found(v, spikes.ALTITUDE, t) == set()
+    for k in (0, 5, 11):
+        w = v.copy()
+        w[k] += 40
+        assert found(w, spikes.ALTITUDE, t) == {k}
+        assert found(w[max(k - 3, 0) : k + 4], spikes.ALTITUDE, t[max(k - 3, 0) : k + 4]) == {min(k, 3)}
+    w = v + np.where(t < 6, 0, 300)  # a lasting change of level
+    assert found(w, spikes.ALTITUDE, t) == set()
+    assert found([600, 700, 500, 9000, 650, 620, 580], spikes.INTENSITY) == {3} and found([600, 700, 500, 10, 650, 620, 580], spikes.INTENSITY) == set()
+    assert found([1000, 1000.4, 1300, 1000.2, 1000.1, 1000.3]) == {2} and found([2000.0, 2500.0, 2100.0], spikes.ALTITUDE) == set()
+
+
 def test_principal_splits_low_rank_and_sparse():
     r = np.random.RandomState(3)
     low = np.outer(r.randn(60), r.randn(40))
