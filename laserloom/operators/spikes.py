@@ -3,10 +3,11 @@
 The readings of a source (in order of time) are laid out as profiles: rows of a matrix with a fixed
 number of readings each, the counterpart of daily profiles for sources that live seconds, not
 months. Robust principal components split the matrix into a low-rank part (level, trend and shape
-common to the profiles: the normal behaviour of the source) and a sparse part. Readings with a large
-sparse part are candidates. An exact check then holds each candidate against the clean readings before
-and after it: a case departs from both by far more than these vary among themselves. Constant runs and
-impossible values are tested separately and never serve as normal readings.
+common to the profiles: the normal behaviour of the source) and a sparse part. The sparse part decides: a
+reading is a case if its own is large, in its field's unit and by the mean sparse part of its whole source. What
+recurs in every profile is normal, however far it stands out; a climb is a trend. A check then passes over
+readings that agree with the clean ones before or after them (the edge of a lasting change of level, which no
+low rank holds). Constant runs and impossible values are tested separately and never serve as normal readings.
 
 Work is split by source and time bucket, with rows near an edge repeated in the neighbouring bucket,
 so a source with a third of all rows spreads over the cluster; a bucket is read in bounded pieces.
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 from laserloom.operators.streams import groups
 from laserloom.session import materialise
 
-# kinds of rows: a case, a suspect with its departure, sum and count of deviations, an equal stretch with its length, a
+# kinds of rows: a case, a suspect with its sparse part, sum and count of sparse parts, an equal stretch with its length, a
 # reading of such a stretch, a least or greatest possible value; bucket, piece and place tell where a stretch begins
 _CASE, _SUSPECT, _SCALE, _STRETCH, _READING, _RANGE = range(6)
 _ARROW = pa.schema([("kind", pa.int32()), ("field", pa.string()), ("source", pa.int64()), ("rec_id", pa.int64()), ("value", pa.float64()), ("n", pa.int64()), ("bucket", pa.int64()), ("piece", pa.int64()), ("place", pa.int64()), ("ends", pa.bool_())])
@@ -35,20 +36,19 @@ _ARROW = pa.schema([("kind", pa.int32()), ("field", pa.string()), ("source", pa.
 class Rule:
     """How one field is judged.
 
-    possible: lowest and highest value that can be measured; floor: the least departure that counts,
-    in units of the field, or in octaves if log; k: the departure in robust standard deviations of
-    the clean readings around; up_only: low values are no fault (dark targets); context: clean
+    possible: lowest and highest value that can be measured; floor: the least sparse part that counts,
+    in units of the field, or in octaves if log; down: the same for readings below the normal behaviour, if another;
+    scale: if set, a sparse part must also be so many times the mean one of the whole source; k: the check's
+    distance from the clean readings on either side, in robust standard deviations of these; context: clean
     readings taken on either side; profile: readings in a row of the matrix; run: equal readings that
-    make a stuck value; drift: change per second that a gap in the readings may hide; scale: if set, a
-    departure must also be so many times the mean deviation of the whole source's readings from the level
-    of their profile."""
+    make a stuck value; drift: change per second that a gap in the readings may hide."""
 
     field: str
     possible: tuple[float, float]
     floor: float
     k: float = 3.0
     log: bool = False
-    up_only: bool = False
+    down: float = 0.0
     context: int = 32
     profile: int = 128
     run: int = 8
@@ -56,11 +56,14 @@ class Rule:
     scale: float = 0.0
 
 
-#: Returns: heights vary by relief and canopy, on each line by its own measure; brightness varies by factors.
-Z = Rule("z", (-500.0, 9000.0), floor=5.0, k=1.5, scale=9.2)
-INTENSITY = Rule("intensity", (0.0, np.inf), floor=2.75, k=2.0, log=True, up_only=True)
+#: Returns: heights vary by relief and canopy, on each line by its own measure; brightness varies by factors, and
+#: farther down (a dark target sends back a tenth) than up.
+Z = Rule("z", (-500.0, 9000.0), floor=5.0, scale=10.3)
+INTENSITY = Rule("intensity", (0.0, np.inf), floor=2.5, down=4.0, log=True)
 #: The sensor climbs, but smoothly.
-ALTITUDE = Rule("altitude", (-500.0, 20000.0), floor=6.0, k=6.0, context=15, profile=64, drift=6.0)
+ALTITUDE = Rule("altitude", (-500.0, 20000.0), floor=7.5, context=15, profile=32, drift=6.0)
+#: Heavy departures from a profile's median are cut to so many robust standard deviations before the split.
+CUT = 50.0
 
 
 def principal(m: np.ndarray, steps: int = 25) -> np.ndarray:
@@ -122,45 +125,37 @@ def possible(v: np.ndarray, rule: Rule) -> np.ndarray:
     return (v >= rule.possible[0]) & (v <= rule.possible[1])
 
 
-def candidates(v: np.ndarray, usable: np.ndarray, rule: Rule) -> tuple[np.ndarray, np.ndarray]:
-    """(readings with a large sparse part, deviation of each from the level of its profile). v: readings in
-    order; unusable ones are filled for the matrix."""
+def sparse_part(v: np.ndarray, usable: np.ndarray, rule: Rule) -> np.ndarray:
+    """What the low-rank part of the profiles leaves of each reading, in units of v. v: readings in order; unusable
+    ones are filled for the matrix."""
     n, width = len(v), min(rule.profile, len(v))
     rows = -(-n // width)
-    good = v[usable]
-    mid = np.median(good)
-    dev = np.median(np.abs(good - mid)) * 1.4826
-    scale = max(dev, rule.floor / 50, 1e-12)
+    mid = np.median(v[usable])
     m = np.full(rows * width, np.nan)
     m[:n] = np.where(usable, v, np.nan)
     m = m.reshape(rows, width)
     level = np.nanmedian(np.where(np.isnan(m).all(1, keepdims=True), mid, m), axis=1, keepdims=True)
-    x = np.clip((np.where(np.isnan(m), level, m) - mid) / scale, -1e4, 1e4)
-    # heavy departures from a row's level are cut before the split, so that no spike sets its scale
-    own = (level - mid) / scale
-    cut = max(rule.floor / scale, 8.0)
-    low = principal(own + np.clip(x - own, -cut, cut))
-    rest = np.abs(x - low).ravel()[:n]
-    sigma = 1.4826 * np.median(rest[usable])
-    off = np.abs(v - np.broadcast_to(level, (rows, width)).ravel()[:n])
-    return (rest > np.maximum(3 * sigma, 0.3 * rule.floor / scale)) & usable, off
+    scale = max(1.4826 * np.nanmedian(np.abs(m - level)), rule.floor / 50, 1e-12)
+    x, own = (np.where(np.isnan(m), level, m) - mid) / scale, (level - mid) / scale
+    low = principal(own + np.clip(x - own, -CUT, CUT))
+    return ((x - low) * scale).ravel()[:n]
 
 
 @dataclass
 class Findings:
     """sure: cases whatever the rest of the source looks like (without runs, which are counted on the whole source);
-    suspects (positions) with their departures count if these are large by the measure of the whole source, to which
-    total and count of deviations go."""
+    suspects (positions) with their sparse parts count if these are large by the measure of the whole source, to which
+    total and count of sparse parts go."""
 
     sure: np.ndarray
     suspects: np.ndarray
-    departures: np.ndarray
+    parts: np.ndarray
     total: float
     count: int
 
 
 def examine(values: np.ndarray, rule: Rule, seconds: np.ndarray | None = None, own: np.ndarray | None = None) -> Findings:
-    """Judge the readings of a stretch of one source, given in order, without nulls. own: those whose deviations
+    """Judge the readings of a stretch of one source, given in order, without nulls. own: those whose sparse parts
     are added up here (the others are added up elsewhere)."""
     sure = ~possible(values, rule)
     rest = ~sure & ~runs(values, rule.run)
@@ -180,13 +175,16 @@ def examine(values: np.ndarray, rule: Rule, seconds: np.ndarray | None = None, o
     for _ in range(3):  # again without the cases found, as a burst may hide some of its own
         if rest.sum() < 2 * rule.run:
             break
-        cand, off = candidates(v, rest, rule)
-        mean = off[rest].mean()
-        total, count = float(off[rest & own].sum()), int((rest & own).sum())
+        part = sparse_part(v, rest, rule)
+        size = np.abs(part)
+        mean = size[rest].mean()
+        total, count = float(size[rest & own].sum()), int((rest & own).sum())
+        if rule.down:
+            size = np.where(part < 0, size * (rule.floor / rule.down), size)
         least = max(rule.floor, 0.4 * rule.scale * mean)
-        hit, by = _departures(v, t, rest, cand, rule, least)
-        far.update(zip(hit.tolist(), by.tolist()))
-        gone = hit[by >= max(rule.floor, rule.scale * mean)]
+        hit = _alone(v, t, rest, rest & (size >= least), part, 0.5 * least, rule)
+        far.update(zip(hit.tolist(), size[hit].tolist()))
+        gone = hit[size[hit] >= max(rule.floor, rule.scale * mean)]
         if not len(gone):
             break
         rest[gone] = False
@@ -207,25 +205,33 @@ def faults(values: np.ndarray, rule: Rule, seconds: np.ndarray | None = None) ->
     if len(w) and w.min() < w.max():  # a run counts where the source's values vary
         out |= runs(values, rule.run)
     if f.count:
-        out[f.suspects[f.departures >= max(rule.floor, rule.scale * f.total / f.count)]] = True
+        out[f.suspects[f.parts >= max(rule.floor, rule.scale * f.total / f.count)]] = True
     return out
 
 
 def _few(v: np.ndarray, t: np.ndarray, rest: np.ndarray, rule: Rule) -> dict[int, float]:
-    """Departures (by position) where there are too few readings for profiles: each is held against the up to five on
-    either side of it, of which at least three in all."""
+    """Departures (by position) where there are too few readings for profiles: each is held against the median of the
+    up to five on either side of it, of which at least three in all."""
     near = replace(rule, context=5, run=3)
     far: dict[int, float] = {}
     for k in np.flatnonzero(rest):
         cand = np.arange(len(v)) == k
-        hit, by = _departures(v, t, rest, cand, near, rule.floor, few=1)
-        far.update(zip(hit.tolist(), by.tolist()))
+        for way, floor in ((1.0, rule.floor), (-1.0, rule.down or rule.floor)):
+            hit, by = _departures(v, t, rest, cand, np.array([way]), near, few=1)
+            if len(hit) and by[0] >= floor:
+                far[int(k)] = float(by[0]) * rule.floor / floor
     return far
 
 
-def _departures(v: np.ndarray, t: np.ndarray, rest: np.ndarray, cand: np.ndarray, rule: Rule, least: float, few: int = 3) -> tuple[np.ndarray, np.ndarray]:
-    """Candidates that the exact check confirms (positions), and how far they lie beyond what is around them. A side
-    with less than `few` clean readings says nothing."""
+def _alone(v: np.ndarray, t: np.ndarray, rest: np.ndarray, cand: np.ndarray, part: np.ndarray, least: float, rule: Rule) -> np.ndarray:
+    """Candidates (positions) that agree with neither side, being off both by `least` at least."""
+    hit, by = _departures(v, t, rest, cand, np.sign(part[cand]), rule)
+    return hit[by >= least]
+
+
+def _departures(v: np.ndarray, t: np.ndarray, rest: np.ndarray, cand: np.ndarray, way: np.ndarray, rule: Rule, few: int = 3) -> tuple[np.ndarray, np.ndarray]:
+    """Candidates (positions) that lie off the clean readings on both sides by more than these vary, and by how much; way:
+    the side on which each must lie (1 above, -1 below). A side with less than `few` clean readings says nothing."""
     clean, which = np.flatnonzero(rest & ~cand), np.flatnonzero(cand)
     if not len(which) or len(clean) < rule.run:
         return which[:0], np.zeros(0)
@@ -234,28 +240,37 @@ def _departures(v: np.ndarray, t: np.ndarray, rest: np.ndarray, cand: np.ndarray
     near, when = v[clean], t[clean]
 
     def side(pos: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Median and spread of the clean readings on one side, and what the time to them allows."""
+        """Median and spread of the clean readings on one side (on their trend, if the field drifts), and what the
+        time to them allows."""
         ok = (pos >= 0) & (pos < len(clean))
         held = np.clip(pos, 0, len(clean) - 1)
         w = np.where(ok, near[held], np.nan)
         none = ok.sum(1) < few
         w[none, :] = 0.0
+        slack = rule.drift * np.abs(when[held[:, 0]] - t[which])
+        if rule.drift and w.shape[1] > 7:
+            half = w.shape[1] // 2
+            ago = np.where(ok | none[:, None], when[held], np.nan) - t[which][:, None]
+            enough = ok[:, half:].sum(1) >= few
+            far = np.where(enough[:, None], w[:, half:], 0.0)
+            with np.errstate(all="ignore"):
+                gap = np.nanmedian(ago[:, :half], axis=1) - np.nanmedian(np.where(enough[:, None], ago[:, half:], 0.0), axis=1)
+                slope = np.where(enough & (np.abs(gap) > 1e-9), (np.nanmedian(w[:, :half], axis=1) - np.nanmedian(far, axis=1)) / gap, 0.0)
+            w = w - np.clip(slope, -rule.drift, rule.drift)[:, None] * ago
         med = np.nanmedian(w, axis=1)
         dev = np.nanmedian(np.abs(w - med[:, None]), axis=1)
-        slack = rule.drift * np.abs(when[held[:, 0]] - t[which])
         med[none], dev[none], slack[none] = np.nan, np.nan, 0.0
         return med, dev, slack
 
     lm, ld, ls = side(at[:, None] - 1 - offs)
     rm, rd, rs = side(at[:, None] + offs)
-    limit = np.maximum(rule.k * 1.4826 * np.fmax(ld, rd), least)
     x = v[which]
     left = np.isnan(rm) | (ls <= rs) & ~np.isnan(lm)  # the side nearer in time
     mid, slack = np.where(left, lm, rm), np.where(left, ls, rs)
-    beyond = np.fmin(x - np.fmax(lm, rm), x - mid - slack)
-    if not rule.up_only:
-        beyond = np.fmax(beyond, np.fmin(np.fmin(lm, rm) - x, mid - slack - x))
-    far = beyond > limit
+    above = np.fmin(x - np.fmax(lm, rm), x - mid - slack)
+    below = np.fmin(np.fmin(lm, rm) - x, mid - slack - x)
+    beyond = np.where(way > 0, above, below)
+    far = beyond > rule.k * 1.4826 * np.fmax(ld, rd)
     return which[far], beyond[far]
 
 
@@ -280,7 +295,7 @@ def flag(
     Empty tables give no rows. Columns that are not named here are not read. bucket and halo are seconds;
     one large shuffle, of the named columns only. What is found goes to the shared folder: runs are put together
     over the whole source, whatever buckets they reach through, and rules with a scale are held against the mean
-    deviation of each whole source.
+    sparse part of each whole source.
     """
     fields = [r.field for r in rules]
     t, lit = F.col("__t"), F.lit
@@ -319,7 +334,7 @@ def flag(
                 none = (None, None, None, None)
                 rows += [(_CASE, rule.field, source, int(k), 0.0, 0, *none) for k in ids[hit[mine[hit]]]]
                 if rule.scale:
-                    rows += [(_SUSPECT, rule.field, source, int(ids[k]), float(d), 0, *none) for k, d in zip(sel[f.suspects], f.departures) if mine[k]]
+                    rows += [(_SUSPECT, rule.field, source, int(ids[k]), float(d), 0, *none) for k, d in zip(sel[f.suspects], f.parts) if mine[k]]
                     rows.append((_SCALE, rule.field, source, None, f.total, f.count, *none))
                 sel = sel[mine[sel]]
                 w = v[sel]

@@ -53,11 +53,12 @@ def test_level_changes_and_bright_targets():
     r = np.random.RandomState(1)
     v = np.round(np.exp(r.randn(2000) * 0.4) * 600)
     v[1000:] *= 2.2
-    v[50] = 10  # dark
+    v[50] = 60  # dark
+    v[90] = 3  # no target is so dark
     v[60] = 600 * 4  # bright
     v[[500, 1500]] = [600 * 15, 1320 * 20]
     v[70] = -1
-    assert found(v, spikes.INTENSITY) == {500, 1500, 70}
+    assert found(v, spikes.INTENSITY) == {500, 1500, 70, 90}
 
 
 def test_runs():
@@ -105,10 +106,49 @@ def test_short_lines():
         assert found(w[max(k - 3, 0) : k + 4], spikes.ALTITUDE, t[max(k - 3, 0) : k + 4]) == {min(k, 3)}
     w = v + np.where(t < 6, 0, 300)  # a lasting change of level
     assert found(w, spikes.ALTITUDE, t) == set()
-    assert found([600, 700, 500, 9000, 650, 620, 580], spikes.INTENSITY) == {3} and found([600, 700, 500, 10, 650, 620, 580], spikes.INTENSITY) == set()
+    assert found([600, 700, 500, 9000, 650, 620, 580], spikes.INTENSITY) == {3} and found([600, 700, 500, 60, 650, 620, 580], spikes.INTENSITY) == set()
     assert found([1000, 1000.4, 1300, 1000.2, 1000.1, 1000.3]) == {2} and found([2000.0, 2500.0, 2100.0], spikes.ALTITUDE) == set()
 
 
+def recurring(n=12_800, seed=10):
+    """Every profile of 128 readings has the same tower in it, and two readings stand out elsewhere."""
+    r = np.random.RandomState(seed)
+    v = 1000 + r.randn(n) * 0.3
+    v[np.arange(40, n, 128)] += 12
+    v[[5000, 9001]] += [12, -12]
+    return v
+
+
+def medians(m, steps=0):
+    return np.broadcast_to(np.median(m, axis=1, keepdims=True), m.shape).copy()
+
+
+def test_what_recurs_in_every_profile_is_normal(monkeypatch):
+    assert found(recurring()) == {5000, 9001}
+    monkeypatch.setattr(spikes, "principal", medians)  # each profile's own median knows no shape
+    assert found(recurring()) > {5000, 9001}
+
+
+def test_the_low_rank_part_holds_climbs(monkeypatch):
+    r = np.random.RandomState(11)
+    t = np.arange(3200) * 0.5
+    v = 2000 + 3.0 * t + r.randn(3200) * 0.05  # 48 m within a profile
+    v[[100, 2000]] += [9, -9]
+    part = spikes.sparse_part(v, np.ones(3200, bool), spikes.ALTITUDE)
+    assert set(np.flatnonzero(np.abs(part) >= spikes.ALTITUDE.floor)) == {100, 2000} == found(v, spikes.ALTITUDE, t)
+    monkeypatch.setattr(spikes, "principal", medians)
+    assert (np.abs(spikes.sparse_part(v, np.ones(3200, bool), spikes.ALTITUDE)) >= spikes.ALTITUDE.floor).sum() > 1000
+
+
+def test_a_long_stuck_run_of_altitudes(spark):
+    n, r = 60_000, np.random.RandomState(12)
+    v = 2000 + 20 * np.sin(np.arange(n) / 3000) + r.randn(n) * 0.05
+    v[20_000:44_000] = 2003.25  # 480 s
+    d = spark.createDataFrame([(i, 1, i * 0.02, float(x)) for i, x in enumerate(v)], "rec_id long, line int, t double, altitude double")
+    got = spikes.flag(d, row_id="rec_id", source="line", time="t", rules=(spikes.ALTITUDE,), bucket=120.0, halo=10.0)
+    assert {x.rec_id for x in got.collect()} == set(range(20_000, 44_000))
+
+
 def test_principal_splits_low_rank_and_sparse():
     r = np.random.RandomState(3)
     low = np.outer(r.randn(60), r.randn(40))
