@@ -14,11 +14,13 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from laserloom.functions.gpstime import adjusted_to_utc
+
 #: Relative error of the queries.
 ERROR = 0.01
-#: Values closer to zero than this count as zero.
-ZERO = 1e-9
-#: Added to bucket numbers so that their sign can hold that of the value.
+#: Values closer to zero than this (the least normal double) count as zero.
+ZERO = 2.2250738585072014e-308
+#: Added to bucket numbers so that their sign can hold that of the value (with an error of 0.001 they reach 354,000).
 SHIFT = 1_000_000
 QUANTILES = {"p05": 0.05, "p25": 0.25, "p50": 0.5, "p75": 0.75, "p95": 0.95}
 
@@ -64,39 +66,35 @@ def distinct_readings(points: DataFrame, *, error: float = ERROR) -> DataFrame:
 
     day counts from 1970-01-01; a point without gps_time has none. Buckets are taken before the shuffle
     that removes exact duplicates, as they are narrower than the values."""
-    # 1980-01-06 plus 10^9 s is the zero of adjusted time; 18 leap seconds at most, by the date
-    gps = F.col("gps_time") + F.lit(1e9)
-    leap = F.when(gps < 1119744017, 16).when(gps < 1167264018, 17).otherwise(18)
-    day = F.when(~F.isnan("gps_time"), F.floor((gps + F.lit(315964800) - leap) / F.lit(86400)).cast("int"))
+    day = F.unix_date(F.to_date(adjusted_to_utc(F.col("gps_time"), exact=True)))
     return points.select("pid", "point_source_id", "label", "file", day.alias("day"), bucket(F.col("intensity"), error).alias("bi"), bucket(F.col("z"), error).alias("bz")).distinct()
 
 
-def by_field(d: DataFrame, keys: list[str]) -> DataFrame:
-    """Counts by keys, field and bucket."""
+def _each_field(d: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, field and bucket of each reading."""
     each = F.explode(F.array(F.struct(F.lit("intensity").alias("field"), F.col("bi").alias("bucket")), F.struct(F.lit("z").alias("field"), F.col("bz").alias("bucket"))))
-    e = d.select(*keys, each.alias("e")).select(*keys, "e.field", "e.bucket").where("bucket is not null")
-    return e.groupBy(*keys, "field", "bucket").agg(F.count("*").alias("n"))
+    return d.select(*keys, each.alias("e")).select(*keys, "e.field", "e.bucket").where("bucket is not null")
 
 
 def point_percentiles(points: DataFrame, *, error: float = ERROR) -> DataFrame:
     """dim, key, field, n and percentiles of intensity and z by flight line, label, file and day.
 
-    Lines, files and days come from one sketch by all three, merged over the others; labels from their own.
-    A null key is a group of its own (key null)."""
-    d = distinct_readings(points, error=error)
-    fine = by_field(d, ["point_source_id", "file", "day"])
-    parts = [(fine, c) for c in ("point_source_id", "file", "day")] + [(by_field(d, ["label"]), "label")]
-    named = [s.select(F.lit(c).alias("dim"), F.col(c).cast("string").alias("key"), "field", "bucket", "n") for s, c in parts]
-    union = named[0]
-    for x in named[1:]:
-        union = union.unionByName(x)
+    One pass counts the distinct points by all four at once (grouping sets, partly before the shuffle). A null key is a
+    group of its own (key null)."""
+    dims = ["point_source_id", "label", "file", "day"]
+    e = _each_field(distinct_readings(points, error=error), dims)
+    sets = e.groupingSets([[F.col(c), F.col("field"), F.col("bucket")] for c in dims], *dims, "field", "bucket")
+    counts = sets.agg(F.count("*").alias("n"), F.grouping_id().alias("g"))
+    # of the bits of g, one for each column in order, that of the dimension is 0
+    own = [(c, F.col("g") == sum(1 << (5 - i) for i in range(4) if dims[i] != c)) for c in dims]
+    dim = F.coalesce(*[F.when(is_own, F.lit(c)) for c, is_own in own])
+    key = F.coalesce(*[F.when(is_own, F.col(c).cast("string")) for c, is_own in own])
     keys = ["dim", "key", "field"]
-    got = percentiles(merge(union, keys), keys, error=error)
-    return got.select(*keys, "n", *[F.round(c, 6).alias(c) for c in QUANTILES])
+    return percentiles(counts.select(dim.alias("dim"), key.alias("key"), "field", "bucket", "n"), keys, error=error)
 
 
 def cell_percentiles(points: DataFrame, *, error: float = ERROR) -> DataFrame:
     """point_source_id, label, file, day, field, n and percentiles for each combination that has points."""
     keys = ["point_source_id", "label", "file", "day", "field"]
-    got = percentiles(by_field(distinct_readings(points, error=error), keys[:-1]), keys, error=error)
-    return got.select(*keys, "n", *[F.round(c, 6).alias(c) for c in QUANTILES])
+    e = _each_field(distinct_readings(points, error=error), keys[:-1])
+    return percentiles(e.groupBy(*keys, "bucket").agg(F.count("*").alias("n")), keys, error=error)

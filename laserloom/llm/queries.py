@@ -5,11 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from laserloom.functions.gpstime import LEAP_DATES
 from laserloom.llm.bpe import encode_texts
 from laserloom.llm.nearest_time import returns_with_trajectory
 from laserloom.llm.packing import pack_documents
-from laserloom.llm.percentiles import cell_percentiles, point_percentiles
+from laserloom.llm.percentiles import QUANTILES, cell_percentiles, point_percentiles
 from laserloom.llm.reading import unlabelled_levels
 from laserloom.session import table
 
@@ -20,12 +22,17 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return returns_with_trajectory(table(spark, d, "points"), table(spark, d, "sbet"))
 
 
+def _rounded(df: DataFrame) -> DataFrame:
+    """Percentiles to 6 decimals, as two systems' powers differ in the last digits."""
+    return df.withColumns({c: F.round(c, 6) for c in QUANTILES})
+
+
 def p3_percentiles(spark: SparkSession, d: str) -> DataFrame:
-    return point_percentiles(table(spark, d, "points"))
+    return _rounded(point_percentiles(table(spark, d, "points")))
 
 
 def p3_by_cell(spark: SparkSession, d: str) -> DataFrame:
-    got = cell_percentiles(table(spark, d, "points"))
+    got = _rounded(cell_percentiles(table(spark, d, "points")))
     # as texts: some of these keys are null
     return got.withColumns({k: got[k].cast("string") for k in ("point_source_id", "label", "day")})
 
@@ -59,37 +66,39 @@ SELECT pid, rec_id FROM (
 """
 
 _G = "ln(1.01 / 0.99)"
-_B = f"CASE WHEN abs(v) < 1e-9 THEN 0 ELSE sign(v) * (ceil(ln(abs(v)) / {_G}) + 1000000) END"
-_QS = (("p05", 0.05), ("p25", 0.25), ("p50", 0.5), ("p75", 0.75), ("p95", 0.95))
+_LEAP = "CASE {} ELSE 0 END".format(" ".join(f"WHEN t >= epoch(TIMESTAMP '{day} 00:00:00') - 315964800 + {n} THEN {n}" for day, n in reversed(LEAP_DATES[1:])))
 
 
 def _percentiles_sql(keys: str, source: str) -> str:
+    """Percentiles by exact rank among all values; each is shown as the middle of its bucket, and only if that lies within
+    1 % of it."""
+    middle = lambda c: f"CASE WHEN {c} = 0 THEN 0.0 ELSE sign({c}) * (2.0 / (1.01 / 0.99 + 1)) * pow(1.01 / 0.99, ceil(ln(abs({c})) / {_G})) END"
+    shown = ", ".join(f"round(CASE WHEN abs({middle(c)} - {c}) <= 0.01 * abs({c}) + 1e-12 * abs({c}) THEN {middle(c)} END, 6) AS {c}" for c in QUANTILES)
     return f"""
 WITH d AS (SELECT DISTINCT pid, point_source_id, label, file, gps_time, intensity, z FROM points),
-k AS (SELECT *, CAST(floor((gps_time + 1e9 + 315964800 - CASE WHEN gps_time + 1e9 < 1119744017 THEN 16 WHEN gps_time + 1e9 < 1167264018 THEN 17 ELSE 18 END) / 86400) AS INT) AS day FROM d),
+t AS (SELECT *, gps_time + 1e9 AS t FROM d),
+k AS (SELECT *, CAST(floor((t + 315964800 - {_LEAP}) / 86400) AS INT) AS day FROM t),
 f AS (SELECT point_source_id, label, file, day, 'intensity' AS field, intensity AS v FROM k
       UNION ALL SELECT point_source_id, label, file, day, 'z', z FROM k),
-b AS (SELECT *, CAST({_B} AS BIGINT) AS bucket FROM f WHERE v IS NOT NULL AND NOT isnan(v) AND NOT isinf(v)),
+b AS (SELECT * FROM f WHERE v IS NOT NULL AND NOT isnan(v) AND NOT isinf(v)),
 g AS ({source}),
-r AS (SELECT {keys}, field, bucket, row_number() OVER (PARTITION BY {keys}, field ORDER BY bucket) AS k,
+r AS (SELECT {keys}, field, v, row_number() OVER (PARTITION BY {keys}, field ORDER BY v) AS k,
         count(*) OVER (PARTITION BY {keys}, field) AS n FROM g),
 q AS (SELECT {keys}, field, max(n) AS n,
-        {", ".join(f"min(CASE WHEN k >= greatest(1, ceil(n * {q} - 1e-9)) THEN bucket END) AS {c}" for c, q in _QS)}
+        {", ".join(f"min(CASE WHEN k >= greatest(1, ceil(n * {q} - 1e-9)) THEN v END) AS {c}" for c, q in QUANTILES.items())}
       FROM r GROUP BY {keys}, field)
-SELECT {keys}, field, n,
-  {", ".join(f"round(CASE WHEN {c} = 0 THEN 0.0 ELSE sign({c}) * (2.0 / (1.01 / 0.99 + 1)) * pow(1.01 / 0.99, abs({c}) - 1000000) END, 6) AS {c}" for c, _ in _QS)}
-FROM q
+SELECT {keys}, field, n, {shown} FROM q
 """
 
 
 ORACLES["p3_percentiles"] = _percentiles_sql(
     "dim, key",
-    """SELECT 'point_source_id' AS dim, CAST(point_source_id AS VARCHAR) AS key, field, bucket FROM b
-      UNION ALL SELECT 'label', CAST(label AS VARCHAR), field, bucket FROM b
-      UNION ALL SELECT 'file', file, field, bucket FROM b
-      UNION ALL SELECT 'day', CAST(day AS VARCHAR), field, bucket FROM b""",
+    """SELECT 'point_source_id' AS dim, CAST(point_source_id AS VARCHAR) AS key, field, v FROM b
+      UNION ALL SELECT 'label', CAST(label AS VARCHAR), field, v FROM b
+      UNION ALL SELECT 'file', file, field, v FROM b
+      UNION ALL SELECT 'day', CAST(day AS VARCHAR), field, v FROM b""",
 )
 ORACLES["p3_by_cell"] = _percentiles_sql(
     "point_source_id, label, file, day",
-    "SELECT CAST(point_source_id AS VARCHAR) AS point_source_id, CAST(label AS VARCHAR) AS label, file, CAST(day AS VARCHAR) AS day, field, bucket FROM b",
+    "SELECT CAST(point_source_id AS VARCHAR) AS point_source_id, CAST(label AS VARCHAR) AS label, file, CAST(day AS VARCHAR) AS day, field, v FROM b",
 )
