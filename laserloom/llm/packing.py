@@ -56,13 +56,14 @@ def pack(df: DataFrame, item: str, size: str, capacity: int, *, group: int = GRO
     An item larger than the capacity is split into full parts, each alone in a container, and a rest
     (part = last) that is packed like any other; no other item is split. Null or negative sizes count as
     zero; items of size zero go into the first container of their group. Repeated and null items are
-    packed each for itself. An empty table gives no rows. Container numbers are unique, not dense.
+    packed each for itself; the place of a row in its partition is part of what groups it, so they spread too (df must
+    read the same way again, as tables do). An empty table gives no rows. Container numbers are unique, not dense.
     rows: the number of rows of df, if known; else df is counted first.
     """
     n = df.count() if rows is None else rows
     groups = max(1, -(-n // group))
     s = F.greatest(F.coalesce(F.col(size).cast("long"), F.lit(0)), F.lit(0))
-    src = df.select(F.col(item).alias("item"), s.alias("n")).withColumn("g", F.pmod(F.xxhash64("item", F.lit(seed)), F.lit(groups)).cast("long"))
+    src = df.select(F.col(item).alias("item"), s.alias("n")).withColumn("g", F.pmod(F.xxhash64("item", F.monotonically_increasing_id(), F.lit(seed)), F.lit(groups)).cast("long"))
     src = src.repartition("g").sortWithinPartitions("g", F.xxhash64("item", F.lit(seed + 1)), "item")
     schema = T.StructType([T.StructField("container", T.LongType()), src.schema["item"], T.StructField("part", T.IntegerType()), T.StructField("start", T.LongType()), T.StructField("n_tokens", T.LongType())])
 
