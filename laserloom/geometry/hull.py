@@ -96,7 +96,11 @@ def convex_hull(points: np.ndarray) -> Hull | None:
 
 
 def ring_2d(points: np.ndarray) -> np.ndarray | None:
-    """Indices of the plane hull's corners in counterclockwise order, not closed (monotone chain)."""
+    """Indices of the plane hull's corners in counterclockwise order, not closed (monotone chain). Points on a side are no
+    corners, as far as the precision of the coordinates given tells (so give them as they are, not less their mean)."""
+    if not len(points):
+        return None
+    flat = 4 * np.spacing(np.abs(points).max()) * np.ptp(points, axis=0).max()
     o = np.lexsort((points[:, 1], points[:, 0]))
     keep = np.append(True, (points[o][1:] != points[o][:-1]).any(1))
     o = o[keep]
@@ -108,7 +112,7 @@ def ring_2d(points: np.ndarray) -> np.ndarray | None:
         for k in idx:
             while len(out) > 1:
                 a, b = points[out[-1]] - points[out[-2]], points[k] - points[out[-2]]
-                if a[0] * b[1] - a[1] * b[0] > 0:
+                if a[0] * b[1] - a[1] * b[0] > flat:
                     break
                 out.pop()
             out.append(int(k))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from laserloom.functions.gpstime import week_time
+
 
 def number_pulses(points: DataFrame, *, by: str = "point_source_id", time: str = "gps_time", row_id: str = "pid", bucket: float = 10.0) -> DataFrame:
     """points with pulse_number, counted from 1 within each source in order of time and row id: a new pulse begins where return_number
@@ -44,3 +46,13 @@ def pulse_index(numbered: DataFrame, by: str = "point_source_id", time: str = "g
     k = F.row_number().over(Window.partitionBy(by, "pulse_number").orderBy(time, row_id))
     d = numbered.withColumn("__k", k).join(n, by)
     return d.withColumn("ind_pulse", F.col("pulse_number") + (F.col("__k") - 1) * F.col("__n")).drop("__k", "__n")
+
+
+def line_times(points: DataFrame, weeks: DataFrame, *, by: str = "point_source_id", week: str = "gps_week", seconds: str = "gps_time", form: str = "adjusted", out: str = "time") -> DataFrame:
+    """points with `out`: their seconds of the GPS week as full time, the week being that of their flight line.
+
+    weeks: one row a line (of several the least week counts); form as in gpstime.week_time. Lines without a week, and null
+    seconds, get a null. The lookup has a row for each line, so AQE broadcasts it where it is small."""
+    w = weeks.where(F.col(by).isNotNull()).groupBy(F.col(by).alias("__by")).agg(F.min(week).alias("__week"))
+    d = points.join(w, F.col(by) == F.col("__by"), "left")
+    return d.withColumn(out, week_time(F.col("__week"), F.col(seconds), form)).drop("__by", "__week")

@@ -206,7 +206,7 @@ def shapes_of(pid: np.ndarray, xyz: np.ndarray, chroma: np.ndarray | None, want:
     near = xyz - xyz.mean(0)
     got: dict = {}
     if want & {"CVH2D", "XCVH2D", "YCVH2D", "CVH2DArea"}:
-        r = H.ring_2d(near[:, :2])
+        r = H.ring_2d(xyz[:, :2])
         if r is not None:
             ring = xyz[np.append(r, r[0]), :2]
             got |= {"CVH2D": ring.tolist(), "XCVH2D": ring[:, 0].tolist(), "YCVH2D": ring[:, 1].tolist(), "CVH2DArea": H.ring_area(near[r, :2])}

@@ -54,7 +54,7 @@ def voxel_index(points: DataFrame, size: float, axes: Sequence[str] = ("x", "y",
 
 def medoid(df: DataFrame, keys: Sequence[str], axes: Sequence[str], row_id: str) -> DataFrame:
     """keys, row_id, axes, ssd, n: the row of each group with the least sum of squared distances to the
-    others (first row id of equals, to 1e-9).
+    others (first row id of equals; deviations from the centroid count to 1e-7, so that map coordinates tie as they should).
 
     That sum is n |x - c|^2 + sum |x_j - c|^2 about the centroid c, so the row nearest to the centroid is
     taken: two linear passes instead of all pairs. A single row has a null ssd."""
@@ -65,12 +65,12 @@ def medoid(df: DataFrame, keys: Sequence[str], axes: Sequence[str], row_id: str)
     else:  # one group: its few statistics become literals
         one = c.first()
         j = d.withColumns({k: F.lit(one[k]) for k in c.columns})
-    dist = sum((F.pow(F.col(a) - F.col(f"__c_{a}"), 2) for a in axes), F.lit(0.0))
+    dist = sum((F.pow(F.round(F.col(a) - F.col(f"__c_{a}"), 7), 2) for a in axes), F.lit(0.0))
     ssd = F.col("__n") * F.col("__d") + F.col("__n") * sum((F.col(f"__v_{a}") for a in axes), F.lit(0.0))
     j = j.withColumn("__d", dist)
     j = j.withColumn("ssd", F.when(F.col("__n") > 1, ssd))
     row = F.struct(row_id, *axes, "ssd", F.col("__n").alias("n"))
-    return j.groupBy(*keys).agg(F.min_by(row, F.struct(F.round("__d", 9), F.col(row_id))).alias("m")).select(*keys, "m.*")
+    return j.groupBy(*keys).agg(F.min_by(row, F.struct(F.round("__d", 10), F.col(row_id))).alias("m")).select(*keys, "m.*")
 
 
 def medoid_of_vectors(df: DataFrame, key: str, vector: str, row_id: str) -> DataFrame:

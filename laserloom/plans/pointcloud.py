@@ -281,17 +281,6 @@ def g10_heights_linear(spark, d):
     return models.heights(p, method="linear").select("pid", r("h", 4, "h"))
 
 
-@query()
-def m_principal_scores(spark, d):
-    return segments.segment_metrics(pts(spark, d), ["NPoints", "UVW"]).select("label", "NPoints", F.size("UVW").alias("scores"))
-
-
-@query()
-def g2_terrain_idw_unbounded(spark, d):
-    p = pts(spark, d)
-    return models.elevation_models(p, grid.grid_over(p, 10.0), layers=("terrain",), method="idw")
-
-
 @query("""
 WITH p AS (SELECT DISTINCT pid, x, y, z, classification FROM points), t AS (SELECT pid, x, y, z FROM p WHERE classification = 2 AND x IS NOT NULL AND y IS NOT NULL AND z IS NOT NULL),
 q AS (SELECT pid, x, y, z FROM p WHERE x IS NOT NULL AND y IS NOT NULL),
@@ -320,47 +309,6 @@ def g15_erosion(spark, d):
     return grid.erode(grid.data_mask(p, ref), ref, 2)
 
 
-@query()
-def g15_open_by_reconstruction(spark, d):
-    p = pts(spark, d)
-    ref = grid.grid_over(p, 2.0)
-    high = grid.rasterize(p.where(predicates.of_class([5])), ref, "z", "count").where("value >= 3")
-    return components.open_by_reconstruction(high, ref, 1.0)
-
-
-def _canopy(spark, d, cell: float):
-    """Height raster of the canopy: greatest return less the mean ground of its neighbourhood."""
-    p = pts(spark, d).where("z between 0 and 9000")
-    ref = grid.grid_over(p, cell)
-    e = models.elevation_models(p, ref, layers=("height",), method="nearest")
-    return p, ref, materialise(e.select("row", "col", F.col("height").alias("value")).where("value < 60"), "chm")
-
-
-@query()
-def g11_canopy_peaks(spark, d):
-    _, ref, h = _canopy(spark, d, 2.0)
-    return segmentation.peaks(h, ref)
-
-
-@query()
-def g12_tree_watershed(spark, d):
-    _, ref, h = _canopy(spark, d, 2.0)
-    return segmentation.watershed(h, ref)
-
-
-@query()
-def g13_superpixels(spark, d):
-    p = pts(spark, d)
-    ref = grid.grid_over(p, 5.0)
-    return segmentation.superpixels(grid.rasterize(p, ref, "intensity", "mean"), ref, radius=10.0)
-
-
-@query()
-def g16_segments_to_points(spark, d):
-    p, ref, h = _canopy(spark, d, 2.0)
-    return segmentation.label_points(p, segmentation.watershed(h, ref), ref, vegetation=(3, 4, 5)).select("pid", "label")
-
-
 # ---- extents and tiles -------------------------------------------------------------------------
 
 
@@ -393,11 +341,6 @@ def a3_tile_density(spark, d):
     return tiles.tile_density(pts(spark, d))
 
 
-@query()
-def e3_convex_extents(spark, d):
-    return hulls.convex_extents(pts(spark, d)).select("file", r("area", 4, "area"), F.size("ring_x").alias("corners"))
-
-
 @query()
 def e4_concave_extents(spark, d):
     return hulls.concave_extents(pts(spark, d)).select("file", r("area", 3, "area"), F.size("ring_x").alias("corners"))
@@ -449,12 +392,6 @@ def o6_set_operations(spark, d):
     return pts(spark, d).select("label").intersect(t.select("label")).subtract(t.where("h < 0").select("label"))
 
 
-@query("SELECT count(*) AS n, count(DISTINCT uuid) AS ids FROM tree_metrics")
-def s14_guids(spark, d):
-    g = tiles.add_guid(table(spark, d, "tree_metrics").select("label", "uuid"), "guid")
-    return g.agg(F.count("*").alias("n"), F.count_distinct("uuid").alias("ids"))
-
-
 # ---- voxels ------------------------------------------------------------------------------------
 
 _V = "CAST(round(x / 0.5) AS BIGINT) AS v_x, CAST(round(y / 0.5) AS BIGINT) AS v_y, CAST(round(z / 0.5) AS BIGINT) AS v_z"
@@ -477,25 +414,6 @@ def a7_subsample_mean(spark, d):
     return m.select("v_x", "v_y", "v_z", *[r(k, 4, k) for k in "xyz"])
 
 
-@query()
-def a8_subsample_random(spark, d):
-    return voxel.subsample_random(pts(spark, d), 0.5).select("pid", "x", "y", "z")
-
-
-@query()
-def a9_subsample_medoid(spark, d):
-    p = pts(spark, d).select("pid", "x", "y", "z").distinct()
-    return voxel.subsample_medoid(p, 2.0).select("v_x", "v_y", "v_z", "pid", r("ssd", 3, "ssd"))
-
-
-@query(f"""WITH p AS (SELECT DISTINCT pid, label, x, y, z FROM points WHERE label <> 0 AND {_XYZ}), n AS (SELECT label, count(*) AS n FROM p GROUP BY label),
-s AS (SELECT a.label, a.pid, sum((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z)) AS ssd FROM p a JOIN p b USING (label) GROUP BY a.label, a.pid)
-SELECT label, ROUND(CASE WHEN any_value(n) > 1 THEN min(ssd) END / any_value(n), 2) AS mean_square FROM s JOIN n USING (label) GROUP BY label""")
-def a10_medoid(spark, d):
-    p = pts(spark, d).where(predicates.labelled()).select("pid", "label", "x", "y", "z").distinct()
-    return voxel.medoid(p, ["label"], ["x", "y", "z"], "pid").select("label", r(F.col("ssd") / F.col("n"), 2, "mean_square"))
-
-
 @query("""WITH e AS (SELECT label, vec_id, [CAST(v AS DOUBLE) FOR v IN embedding] AS v FROM embeddings),
 c AS (SELECT label, i, avg(x) AS m FROM (SELECT label, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM e) GROUP BY label, i),
 s AS (SELECT e.label, e.vec_id, round(sum((x - m) * (x - m)), 9) AS dist FROM (SELECT label, vec_id, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM e) e JOIN c ON e.label = c.label AND e.i = c.i GROUP BY 1, 2)
@@ -664,16 +582,6 @@ def j7_gps_to_utc(spark, d):
     return p.select("pid", F.unix_micros(gpstime.adjusted_to_utc(F.col("gps_time"))).alias("utc_us"))
 
 
-@query("""WITH w AS (SELECT DISTINCT point_source_id, CAST(floor((gps_time + 1e9) / 604800) AS INT) AS week, round(gps_time + 1e9 - floor((gps_time + 1e9) / 604800) * 604800, 6) AS sow FROM sbet WHERE gps_time IS NOT NULL AND point_source_id IS NOT NULL)
-SELECT point_source_id, week, sow, ROUND(week * 604800.0 + sow, 4) AS satellite, ROUND(week * 604800.0 + sow - 1e9, 4) AS adjusted FROM w""")
-def j6_week_time(spark, d):
-    t = F.col("gps_time") + F.lit(1e9)
-    week = F.floor(t / F.lit(604800.0))
-    s = table(spark, d, "sbet").where("gps_time is not null and point_source_id is not null")
-    w = s.select("point_source_id", week.cast("int").alias("week"), F.round(t - week * F.lit(604800.0), 6).alias("sow")).distinct()
-    return w.select("*", r(gpstime.week_time(F.col("week"), F.col("sow")), 4, "satellite"), r(gpstime.week_time(F.col("week"), F.col("sow"), "adjusted"), 4, "adjusted"))
-
-
 # ---- colours -----------------------------------------------------------------------------------
 
 _ADJ = """v AS (SELECT DISTINCT label, CAST(round(x / 2) AS BIGINT) AS vx, CAST(round(y / 2) AS BIGINT) AS vy, CAST(round(z / 2) AS BIGINT) AS vz FROM points WHERE label <> 0 AND x IS NOT NULL AND y IS NOT NULL AND z IS NOT NULL),
@@ -692,13 +600,3 @@ def w6_degree_order(spark, d):
     return coloring.degree_order(coloring.adjacency(p), p)
 
 
-@query()
-def c2_greedy_coloring(spark, d):
-    p = pts(spark, d)
-    e = materialise(coloring.adjacency(p), "edges")
-    return coloring.greedy(e, coloring.degree_order(e, p))
-
-
-@query()
-def c3_topo_color(spark, d):
-    return coloring.topo_color(pts(spark, d)).select("pid", "color", "r", "g", "b")

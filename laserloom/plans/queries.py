@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from laserloom.operators.spatial import tree_neighbourhoods
 from laserloom.operators.spikes import implausible_readings
 from laserloom.operators.timestamps import flight_log_instants
-from laserloom.plans import fileio, pointcloud  # noqa: F401 (fileio adds to pointcloud.QUERIES)
+from laserloom.plans import fileio, pointcloud, shapes, surfaces  # noqa: F401 (all add to pointcloud.QUERIES)
 from laserloom.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
