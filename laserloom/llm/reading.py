@@ -8,7 +8,8 @@ highest posterior likelihood: the prior of the level times the likelihood of all
 
 Whether a text is English prose is told by models of letter trigrams, one for each language that the corpus's own
 labels name: no other may be likelier, and English must be likely enough (formulas, sequences and listings of symbols are not).
-All counts that the models are made of are added up in Spark; the driver gets one row for each event.
+All rated texts and all texts with a language label are counted. The counts are added up in Spark, and the driver gets one row
+for each event; the bound on what is likely enough is the exact median of all texts labelled English.
 """
 
 from __future__ import annotations
@@ -25,19 +26,20 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from laserloom.functions.stats import exact_hazen
 from laserloom.llm.bpe import spare
 from laserloom.session import materialise
 
 LEVELS = (1, 2, 3, 4)
-#: Labelled texts that the models are fitted on at most (those of least hash of doc_id).
-TRAIN = 2000
 #: Weight of the overall distribution in each stream's models, in events.
 SMOOTHING = {"word": 300.0, "syllables": 5.0, "letters": 5.0, "sentence": 3.0, "sentence_words": 5.0}
 STREAMS = tuple(SMOOTHING)
 #: Words between white space that a prose text has at least.
 LEAST_WORDS = 60
-#: Texts of each language, at most, that its trigram model is trained on (those of least hash of doc_id).
-PER_LANGUAGE = 300
+#: Rated ids that are broadcast at most; more are joined by a shuffle.
+FEW = 1_000_000
+#: Distinct words, by language, that a task holds before it passes their counts on.
+HELD = 100_000
 #: By how much, in the mean log likelihood of a trigram, another language must be likelier than English.
 MARGIN = 0.5
 #: How far that mean may lie below the usual one of English texts: each trigram a third as likely. (At sf0.1 prose lies
@@ -195,82 +197,95 @@ def language_code(lang: Column) -> Column:
     return F.when(k != "", k)
 
 
-def _chosen(documents: DataFrame, labels: DataFrame, most: int, per_language: int) -> DataFrame:
-    """doc_id, w1 .. w4 (null: not labelled), lang (null: not in the language sample) of the texts to train on."""
-    ok = labels.where(F.col("doc_id").isNotNull() & F.col("level").isin(*LEVELS))
-    each = ok.groupBy("doc_id").agg(*[F.avg((F.col("level") == n).cast("double")).alias(f"w{n}") for n in LEVELS])
-    rated = each.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    if "lang" not in documents.columns:
-        return rated.withColumn("lang", F.lit(None).cast("string"))
+def _with_language(documents: DataFrame, per_language: int | None) -> DataFrame:
+    """doc_id, text, lang (null: of no known language, or left out by `per_language`) of the texts that aren't null."""
+    lang = language_code(F.col("lang")) if "lang" in documents.columns else F.lit(None).cast("string")
+    known = documents.select("doc_id", F.col("text").cast("string").alias("text"), lang.alias("lang")).where("text is not null")
+    if per_language is None:
+        return known
     # ranks up to a small limit are cut map-side, so the commonest language gathers no ids
     by_hash = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id", F.lit(3)), "doc_id")
-    some = documents.where("doc_id is not null and text is not null").select("doc_id", language_code(F.col("lang")).alias("lang")).where("lang is not null")
-    some = some.withColumn("k", F.row_number().over(by_hash)).where(F.col("k") <= per_language).drop("k")
-    return rated.join(some, "doc_id", "full_outer")
+    some = known.where("doc_id is not null and lang is not null").select("doc_id", "lang").withColumn("k", F.row_number().over(by_hash))
+    some = some.where(F.col("k") <= per_language).select("doc_id", F.lit(True).alias("some")).distinct()
+    return known.join(F.broadcast(some), "doc_id", "left").select("doc_id", "text", F.when(F.col("some"), F.col("lang")).alias("lang"))
 
 
-def train_reading_model(documents: DataFrame, labels: DataFrame, most: int = TRAIN, per_language: int = PER_LANGUAGE) -> ReadingModel | None:
-    """Fit on at most `most` labelled texts, and the test of language on at most `per_language` texts of each label.
+def _is_few(ids: DataFrame, few: int) -> bool:
+    return ids.limit(few + 1).count() <= few
 
-    Ratings of one text that differ share its weight; ratings outside 1 to 4, of unknown texts or of null ids are
-    passed over; None if none is left. The ids chosen (at most `most` and `per_language` for each of the 676 codes of two
-    letters) are broadcast; their texts are written to the shared folder. Their events are counted and added up in
-    Spark, so the driver gets a row for each event; then the English ones are scored for the bound on prose."""
+
+def _trained(known: DataFrame, labels: DataFrame, most: int | None, few: int) -> ReadingModel | None:
+    """The models, without a bound on prose. known: of _with_language()."""
     names = [f"w{n}" for n in LEVELS]
-    chosen = F.broadcast(_chosen(documents, labels, most, per_language))
-    texts = materialise(documents.select("doc_id", "text").where("text is not null").join(chosen, "doc_id").select("text", *names, "lang"), "reading")
+    ok = labels.where(F.col("doc_id").isNotNull() & F.col("level").isin(*LEVELS))
+    rated = ok.groupBy("doc_id").agg(*[F.avg((F.col("level") == n).cast("double")).alias(f"w{n}") for n in LEVELS])
+    if most is not None:
+        rated = rated.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+    texts = known.join(F.broadcast(rated) if _is_few(rated, few) else rated, "doc_id", "left").where("w1 is not null or lang is not null").select("text", *names, "lang")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        totals, words, weights = new_totals(), defaultdict(Counter), np.zeros(len(LEVELS))
+
+        def counted() -> pa.RecordBatch:
+            rows = [("rated", "", *weights)] + [(k, str(e), *v) for k, es in totals.items() for e, v in es.items()]
+            for x, c in words.items():
+                grams: Counter = Counter()
+                for w, n in c.items():
+                    for g in trigrams(w):
+                        grams[g] += n
+                rows += [(f"lang {x}", g, float(n), 0.0, 0.0, 0.0) for g, n in grams.items()]
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in map(list, zip(*rows))], names=["kind", "event", *names])
+
         for b in batches:
-            totals, grams, rated = new_totals(), defaultdict(Counter), np.zeros(len(LEVELS))
             for t, *w, lang in zip(*(c.to_pylist() for c in b.columns)):
-                c = stream_counts(sentences(t))
+                sents = sentences(t)
                 if w[0] is not None:
-                    add_counts(totals, c, np.array(w))
-                    rated += w
+                    add_counts(totals, stream_counts(sents), np.array(w))
+                    weights += w
                 if lang is not None:
-                    for x, n in c["word"].items():
-                        for g in trigrams(x):
-                            grams[lang][g] += n
-            rows = [("rated", "", *rated)] + [(k, str(e), *v) for k, es in totals.items() for e, v in es.items()]
-            rows += [(f"lang {x}", g, float(n), 0.0, 0.0, 0.0) for x, c in grams.items() for g, n in c.items()]
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in map(list, zip(*rows))], names=["kind", "event", *names])
+                    for s in sents:
+                        words[lang].update(s)
+                if len(totals["word"]) + sum(map(len, words.values())) > HELD:
+                    yield counted()
+                    totals, words, weights = new_totals(), defaultdict(Counter), np.zeros(len(LEVELS))
+        yield counted()
 
     got = texts.mapInArrow(count, "kind string, event string, " + ", ".join(f"{n} double" for n in names))
-    totals, grams, rated = new_totals(), defaultdict(Counter), np.zeros(len(LEVELS))
+    totals, grams, weights = new_totals(), defaultdict(Counter), np.zeros(len(LEVELS))
     for kind, event, *w in sorted(tuple(r) for r in got.groupBy("kind", "event").agg(*[F.sum(n).alias(n) for n in names]).collect()):
         if kind == "rated":
-            rated = np.array(w)
+            weights = np.array(w)
         elif kind in totals:
             totals[kind][event if kind == "word" else int(event)] = np.array(w)
         else:
             grams[kind[5:]][event] = w[0]
-    if not rated.any():
+    if not weights.any():
         return None
-    m = model_of(totals, rated)
-    language = LanguageModel.of(grams)
-    if language:
-        held = documents.sparkSession.sparkContext.broadcast(language)
-
-        def english(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            lm = held.value
-            for b in batches:
-                out = []
-                for t in b.column(0).to_pylist():
-                    words = Counter(w for s in sentences(t) for w in s)
-                    out.append(float(lm.english(sum((lm.word(x) * n for x, n in words.items()), np.zeros(len(lm.languages) + 1)))))
-                yield pa.RecordBatch.from_arrays([pa.array(out, pa.float64())], names=["english"])
-
-        m.language = bounded(language, np.array([r[0] for r in texts.where("lang = 'en'").select("text").mapInArrow(english, "english double").collect()]))
+    m = model_of(totals, weights)
+    m.language = LanguageModel.of(grams)
+    return m
+
+
+def train_reading_model(documents: DataFrame, labels: DataFrame, most: int | None = None, per_language: int | None = None, few: int = FEW) -> ReadingModel | None:
+    """Fit on all labelled texts, and the test of language on all texts with a language label; if wanted, on at most `most`
+    labelled texts and `per_language` texts of each language (those of least hash of doc_id).
+
+    Ratings of one text that differ share its weight; ratings outside 1 to 4, of unknown texts or of null ids are
+    passed over; None if none is left. At most `few` rated ids are broadcast with their ratings. The events are counted and
+    added up in Spark, so the driver gets a row for each event; then the English ones are scored for the bound on prose."""
+    known = _with_language(documents, per_language)
+    m = _trained(known, labels, most, few)
+    if m and m.language:
+        bounded(m.language, materialise(_read(known.where("lang = 'en'"), m, []), "reading"))
     return m
 
 
-def bounded(language: LanguageModel, english: np.ndarray) -> LanguageModel:
+def bounded(language: LanguageModel, read: DataFrame) -> LanguageModel:
     """The model with the least likelihood of English prose: the median of the texts labelled English, which wrong labels
-    do not move, less `PROSE`."""
-    en = english[np.isfinite(english)]
-    if len(en):
-        language.least = float(np.median(en)) - PROSE
+    do not move, less `PROSE`. read: column english of all these texts."""
+    (en,) = exact_hazen(read.where(F.col("english") > F.lit(-math.inf)), "english", [0.5])
+    if en is not None:
+        language.least = en - PROSE
     return language
 
 
@@ -304,24 +319,33 @@ class Scorer:
     def __call__(self, text: str | None) -> int | None:
         if not text or len(text.split()) < LEAST_WORDS:
             return None
+        level, english = self.read(text)
+        return None if self.extra and english < self.m.language.least else level
+
+    def read(self, text: str | None) -> tuple[int | None, float]:
+        """Level of a text that has words enough, whatever the bound on prose, and its mean log likelihood in English (-inf
+        without language models, where the function words decide)."""
+        if not text:
+            return None, -math.inf
         sents = sentences(text)
         if not self.extra and not is_english_prose(text, sents):
-            return None
+            return None, -math.inf
         if len(self.rows) > self.keep:
             self.clear()
         words = Counter(w for s in sents for w in s)
         if not words:
-            return None
+            return None, -math.inf
         idx = [self._row(w) for w in words]
         sums = np.fromiter(words.values(), float, len(words)) @ self.table[idx]
-        if self.extra and self.m.language.english(sums[len(LEVELS) :]) < self.m.language.least:
-            return None
+        english = float(self.m.language.english(sums[len(LEVELS) :])) if self.extra else -math.inf
+        if len(text.split()) < LEAST_WORDS:
+            return None, english
         once = Counter(_length_class(len(s)) for s in sents)
         each: Counter = Counter()
         for s in sents:
             each[_length_class(len(s))] += len(s)
         of = self.m.streams
-        return self.m.best(sums[: len(LEVELS)] + score_stream(of["sentence"], once) + score_stream(of["sentence_words"], each))
+        return self.m.best(sums[: len(LEVELS)] + score_stream(of["sentence"], once) + score_stream(of["sentence_words"], each)), english
 
 
 def reading_levels(documents: DataFrame, model: ReadingModel | None, *, text: str = "text", out: str = "level", keep: list[str] | None = None) -> DataFrame:
@@ -344,14 +368,35 @@ def reading_levels(documents: DataFrame, model: ReadingModel | None, *, text: st
     return src.mapInArrow(run, schema)
 
 
-def unlabelled_levels(documents: DataFrame, labels: DataFrame, few: int = 1_000_000) -> DataFrame:
+def _read(known: DataFrame, model: ReadingModel, keep: list[str]) -> DataFrame:
+    """Columns `keep`, level and english of each text, as Scorer.read() gives them."""
+    k = len(keep)
+    schema = T.StructType([*known.select(*keep).schema.fields, T.StructField("level", T.LongType()), T.StructField("english", T.DoubleType())])
+    held = known.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        score = Scorer(held.value)
+        for b in batches:
+            got = [score.read(t) for t in b.column(k).to_pylist()]
+            level, english = pa.array([x[0] for x in got], pa.int64()), pa.array([x[1] for x in got], pa.float64())
+            yield pa.RecordBatch.from_arrays([*b.columns[:k], level, english], names=[*keep, "level", "english"])
+
+    return known.select(*keep, "text").mapInArrow(run, schema)
+
+
+def unlabelled_levels(documents: DataFrame, labels: DataFrame, few: int = FEW) -> DataFrame:
     """doc_id, level of the English prose texts that nobody has rated.
 
-    At most `few` rated ids (8 MB, counted first) are broadcast, so that rated texts aren't read in Python; more are taken out
-    of the result instead, as a join of texts would move them all."""
+    Two passes over all texts: one counts, one scores. The scores (a few numbers for each text) are written to the shared folder,
+    as the bound on prose is the median of all English ones. At most `few` rated ids (counted first) are broadcast;
+    more are joined by a shuffle."""
+    known = _with_language(documents, None)
+    model = _trained(known, labels, None, few)
+    if model is None:
+        return documents.select("doc_id", F.lit(None).cast("long").alias("level")).limit(0)
+    read = materialise(_read(known.withColumn("en", F.col("lang").eqNullSafe("en")), model, ["doc_id", "en"]), "reading")
+    got = read.where("level is not null")
+    if model.language:
+        got = got.where(F.col("english") >= F.lit(bounded(model.language, read.where("en")).least))
     rated = labels.select("doc_id").where("doc_id is not null").distinct()
-    model = train_reading_model(documents, labels)
-    small = rated.limit(few + 1).count() <= few
-    todo = documents.join(F.broadcast(rated), "doc_id", "left_anti") if small else documents
-    got = reading_levels(todo, model, keep=["doc_id"]).where("level is not null")
-    return got if small else got.join(rated, "doc_id", "left_anti")
+    return got.select("doc_id", "level").join(F.broadcast(rated) if _is_few(rated, few) else rated, "doc_id", "left_anti")

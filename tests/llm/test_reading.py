@@ -64,6 +64,32 @@ def test_wrong_labels_make_no_language(spark):
     assert {x.doc_id for x in R.unlabelled_levels(d, lb).collect()} == set(range(40, 60))
 
 
+def test_every_text_counts(spark):
+    """Models and the bound on prose are made of all rated and all labelled texts, not of some thousands or hundreds."""
+    r = random.Random(10)
+    own = lambda i: "q" + "".join("abcdefghij"[int(k)] for k in f"{i:04d}")
+    docs = [(i, f"{babble(GLUE + ' ' + WORDS[i % 4 + 1], r, r.randint(5, 15))} {own(i)}.", "en") for i in range(2100)]
+    docs += [(3000 + i, babble(FOREIGN["de"], r), "de") for i in range(400)] + [(4000 + i, text(2, r), None) for i in range(3)]
+    labels = [(i, i % 4 + 1, "a") for i in range(2100)]
+    d, lb = spark.createDataFrame(docs, "doc_id long, text string, lang string"), spark.createDataFrame(labels, "doc_id long, level int, rater string")
+    m = R.train_reading_model(d, lb)
+    assert {own(i) for i in range(2100)} <= m.streams["word"].keys() and np.allclose(np.exp(m.prior), 0.25)
+    words = lambda lang: [w for _, t, k in docs if k == lang for s in R.sentences(t) for w in s]
+    whole = R.LanguageModel.of({k: R.Counter(g for w in words(k) for g in R.trigrams(w)) for k in ("de", "en")})
+    assert whole.logp.keys() == m.language.logp.keys() and all(np.allclose(whole.logp[g], v) for g, v in m.language.logp.items())
+    score = R.Scorer(m)
+    assert np.isclose(m.language.least, np.median([score.read(t)[1] for _, t, k in docs if k == "en"]) - R.PROSE)
+    assert {x.doc_id: x.level for x in R.unlabelled_levels(d, lb).collect()} == {4000 + i: 2 for i in range(3)}
+
+
+def test_counts_passed_on_in_pieces(spark, monkeypatch):
+    docs, labels = frames(spark)
+    whole = R.train_reading_model(docs, labels)
+    monkeypatch.setattr(R, "HELD", 5)
+    pieces = R.train_reading_model(docs, labels)
+    assert all(whole.streams[k].keys() == v.keys() and all(np.allclose(whole.streams[k][e], x) for e, x in v.items()) for k, v in pieces.streams.items())
+
+
 def test_a_word_costs_the_same_however_many_are_held():
     import time
 
