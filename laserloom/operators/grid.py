@@ -184,48 +184,99 @@ def _nearest(valid: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return who, np.sqrt(best)
 
 
-def nearest_fill(raster: DataFrame, ref: GridRef, value: str = "value", tile: int = 128) -> DataFrame:
+def _nearest_in_band(rows: np.ndarray, cols: np.ndarray, first: int, height: int, trow: np.ndarray, tcol: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Index of the nearest source (rows, cols) of each target (trow, tcol) and the squared distance; of equals that of the
+    smallest column, then row. Targets lie in the rows first .. first + height - 1; sources are all that lie there, and of
+    each column the nearest above and below.
+
+    The nearest source column never falls along a row of targets, so halving the row bounds the columns to look at."""
+    o = np.argsort(rows, kind="stable")
+    rows, cols = rows[o], cols[o]
+    at, k = np.unique(cols, return_inverse=True)
+    n, i = len(rows), np.clip(rows - first, 0, height - 1)
+    up, down = np.full((height, len(at)), -1), np.full((height, len(at)), n)
+    before, after = np.flatnonzero(rows < first + height), np.flatnonzero(rows >= first)
+    np.maximum.at(up, (i[before], k[before]), before)
+    np.minimum.at(down, (i[after], k[after]), after)
+    up, down = np.maximum.accumulate(up, axis=0), np.minimum.accumulate(down[::-1], axis=0)[::-1]
+    r, far = (first + np.arange(height))[:, None], 10**9
+    above, below = np.where(up >= 0, r - rows[np.maximum(up, 0)], far), np.where(down < n, rows[np.minimum(down, n - 1)] - r, far)
+    who, gap = np.where(above <= below, up, down), np.minimum(above, below) ** 2
+    order = np.lexsort((tcol, trow))
+    i, j = trow[order] - first, tcol[order]
+    count = np.bincount(i, minlength=height)
+    place = np.arange(len(i)) - np.repeat(np.cumsum(count) - count, count) + 1  # in its row, from 1
+    last = count[i]
+    best, d2 = np.zeros(len(i), np.int64), np.zeros(len(i), np.int64)
+    step = 1 << int(count.max()).bit_length()
+    while step:
+        s = np.flatnonzero(place & (2 * step - 1) == step)
+        if len(s):
+            lo = np.where(place[s] > step, best[s - step], 0)
+            hi = np.where(place[s] + step <= last[s], best[np.minimum(s + step, len(i) - 1)], len(at) - 1)
+            length = hi - lo + 1
+            start = np.cumsum(length) - length
+            c = np.arange(length.sum()) + np.repeat(lo - start, length)
+            cost = gap[np.repeat(i[s], length), c] + (at[c] - np.repeat(j[s], length)) ** 2
+            least = np.minimum.reduceat(cost * len(at) + c, start)
+            best[s], d2[s] = least % len(at), least // len(at)
+        step //= 2
+    got, dist = np.empty(len(i), np.int64), np.empty(len(i), np.int64)
+    got[order], dist[order] = o[who[i, best]], d2
+    return got, dist
+
+
+def _beside(have: DataFrame, cells: DataFrame, bands: int) -> DataFrame:
+    """b, row, col, v: for each band of rows, of every column with a source (b, row, col, v) the nearest above and below the band."""
+    at = F.struct("row", "v")
+    ends = have.groupBy("b", "col").agg(F.min(at).alias("lo"), F.max(at).alias("hi"))
+    every = have.select("col").distinct().crossJoin(cells.sparkSession.range(bands).withColumnRenamed("id", "b")).join(ends, ["b", "col"], "left")
+    before = lambda by: Window.partitionBy("col").orderBy(by).rowsBetween(Window.unboundedPreceding, -1)
+    both = every.withColumns({"above": F.max("hi").over(before(F.asc("b"))), "below": F.min("lo").over(before(F.desc("b")))})
+    return both.select("b", F.explode(F.array("above", "below")).alias("at"), "col").where("at is not null").select("b", "at.row", "col", "at.v")
+
+
+def nearest_fill(raster: DataFrame, ref: GridRef, value: str = "value", tile: int = 64, whole: bool = False) -> DataFrame:
     """row, col, value, dist: null cells take the value of the nearest cell that has one (dist in cells; 0
-    for cells with their own). Of equals the smallest (col, row) wins. The reach grows by rounds; a raster
-    without any value stays null."""
-    todo = raster.select("row", "col", F.col(value).cast("double").alias("v"))
-    parts, halo, most = [], 16, max(ref.nrows, ref.ncols, 1)
-    source = materialise(todo, "fill")
-    if not source.where("v is not null").head(1):
-        return source.select("row", "col", F.col("v").alias(value), F.lit(None).cast("double").alias("dist"))
-    open_cells = source
-    while True:
-        last = halo >= most
-
-        def work(a, present, r0, c0):
-            valid = ~np.isnan(a["v"])
-            who, dist = _nearest(valid)
-            got = np.where(who >= 0, np.where(valid, a["v"], a["v"].ravel()[np.maximum(who, 0)]), np.nan)
-            return {"filled": got, "dist": np.where(np.isnan(got), np.nan, dist)}
-
-        if not parts:
-            base = source
-        else:  # only tiles with open cells again: their cells, and the sources within reach
-            block = lambda c: F.floor((F.col(c) - 1) / tile)
-            want = open_cells.select(block("row").alias("a"), block("col").alias("b")).distinct()
-            k = -(-halo // tile)
-            reach = want.withColumn("a", F.explode(F.sequence(F.col("a") - k, F.col("a") + k))).withColumn("b", F.explode(F.sequence(F.col("b") - k, F.col("b") + k))).distinct()
-            base = source.withColumns({"a": block("row"), "b": block("col")}).join(reach, ["a", "b"], "left_semi").drop("a", "b")
-        got = materialise(tiled(base, ["v"], tile, halo, work, {"filled": T.DoubleType(), "dist": T.DoubleType()}), "fill")
-        if parts:
-            got = got.join(open_cells.select("row", "col"), ["row", "col"], "left_semi")
-        done = got if last else got.where(F.col("dist") <= halo)
-        parts.append(done)
-        if last:
-            break
-        open_cells = materialise(got.where(F.col("dist").isNull() | (F.col("dist") > halo)).select("row", "col"), "fill")
-        if not open_cells.head(1):
-            break
-        halo *= 8
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.select("row", "col", F.col("filled").alias(value), "dist")
+    for cells with their own). Of equals the smallest (col, row) wins. whole: every cell of the grid, not only those of
+    the raster. A raster without any value stays null.
+
+    Works on bands of `tile` rows, each with its own cells and of every column the nearest above and below, so the
+    reach is that of the grid whatever its empty stretches."""
+    band = max(1, min(tile, 2_000_000 // max(ref.ncols, 1)))
+    block = F.floor((F.col("row") - 1) / band).cast("long").alias("b")
+    source = materialise(raster.select("row", "col", F.col(value).cast("double").alias("v")), "fill")
+    have = source.where("v is not null and not isnan(v)").select(block, "row", "col", "v")
+    if not have.head(1):
+        empty = densify(source, ref, "v") if whole else source
+        return empty.select("row", "col", F.col("v").alias(value), F.lit(None).cast("double").alias("dist"))
+    cells = have if whole else source.select(block, "row", "col", "v")
+
+    def one(key, pdf):
+        import pandas as pd
+
+        first = int(key[0]) * band + 1
+        height = min(band, ref.nrows - first + 1)
+        i, j, v = pdf["row"].to_numpy(np.int64), pdf["col"].to_numpy(np.int64), pdf["v"].to_numpy(float)
+        ok = ~np.isnan(v)
+        own = ok & (i >= first) & (i < first + height)
+        if whole:
+            full = np.zeros((height, ref.ncols), bool)
+            full[i[own] - first, j[own] - 1] = True
+            a, b = np.nonzero(~full)
+            a, b = a + first, b + 1
+        else:
+            a, b = i[~ok], j[~ok]
+        filled, dist = np.zeros(0), np.zeros(0)
+        if len(a):
+            who, d2 = _nearest_in_band(i[ok], j[ok], first, height, a, b)
+            filled, dist = v[ok][who], np.sqrt(d2.astype(float))
+        of = lambda x, y: np.append(x[own], y)
+        return pd.DataFrame({"row": of(i, a).astype(np.int32), "col": of(j, b).astype(np.int32), "filled": of(v, filled), "dist": np.append(np.zeros(own.sum()), dist)})
+
+    both = cells.unionByName(_beside(have, source, -(-ref.nrows // band)))
+    got = both.groupBy("b").applyInPandas(one, "row int, col int, filled double, dist double")
+    return got.select("row", "col", F.col("filled").alias(value), "dist")
 
 
 def _farthest(rows: np.ndarray, cols: np.ndarray, first: int, height: int, ncols: int) -> float:
@@ -263,12 +314,8 @@ def reach(cells: DataFrame, ref: GridRef, value: str = "value") -> float:
     value is made. 0 for a raster without any value."""
     band = max(1, min(64, 2_000_000 // max(ref.ncols, 1)))
     bands = -(-ref.nrows // band)
-    have = cells.where(F.col(value).isNotNull() & ref.inside()).select("row", "col", F.floor((F.col("row") - 1) / band).cast("long").alias("b"))
-    ends = have.groupBy("b", "col").agg(F.min("row").alias("lo"), F.max("row").alias("hi"))
-    every = have.select("col").distinct().crossJoin(cells.sparkSession.range(bands).withColumnRenamed("id", "b")).join(ends, ["b", "col"], "left")
-    before = lambda by: Window.partitionBy("col").orderBy(by).rowsBetween(Window.unboundedPreceding, -1)
-    both = every.withColumns({"above": F.max("hi").over(before(F.asc("b"))), "below": F.min("lo").over(before(F.desc("b")))})
-    beside = both.select("b", F.explode(F.array("above", "below")).alias("row"), "col").where("row is not null")
+    have = cells.where(F.col(value).isNotNull() & ref.inside()).select("row", "col", F.floor((F.col("row") - 1) / band).cast("long").alias("b"), F.lit(0.0).alias("v"))
+    beside = _beside(have, cells, bands).drop("v")
 
     def one(key, pdf):
         import pandas as pd
@@ -277,7 +324,7 @@ def reach(cells: DataFrame, ref: GridRef, value: str = "value") -> float:
         d = _farthest(pdf["row"].to_numpy(np.int64), pdf["col"].to_numpy(np.int64), first, min(band, ref.nrows - first + 1), ref.ncols)
         return pd.DataFrame({"d": [d]})
 
-    got = beside.unionByName(have.select("b", "row", "col")).groupBy("b").applyInPandas(one, "d double")
+    got = beside.unionByName(have.drop("v")).groupBy("b").applyInPandas(one, "d double")
     return got.agg(F.max("d")).first()[0] or 0.0
 
 

@@ -38,6 +38,12 @@ def _over(cells: DataFrame, ref: GridRef, within: DataFrame | None) -> DataFrame
     return where.join(cells, ["row", "col"], "left")
 
 
+def _filled(cells: DataFrame, ref: GridRef, within: DataFrame | None) -> DataFrame:
+    """row, col, value of _over(cells, ref, within), filled from the nearest cell."""
+    full = grid.nearest_fill(cells, ref, whole=True) if within is None else grid.nearest_fill(_over(cells, ref, within), ref)
+    return full.select("row", "col", "value")
+
+
 def terrain_model(points: DataFrame, ref: GridRef, *, class_terrain: Sequence[int] = (2, 9), method: str = "idw", radius: float = math.inf, weight: Callable[[float], float] = grid.cubic, kernel: list[list[float]] | None = None, within: DataFrame | None = None) -> DataFrame:
     """row, col, terrain on the whole grid (or on the cells of `within`, if nothing is smoothed): cell means of the ground returns, interpolated (idw, nearest, linear or natural), then
     filled from the nearest cell and smoothed. ValueError without a ground return."""
@@ -47,7 +53,7 @@ def terrain_model(points: DataFrame, ref: GridRef, *, class_terrain: Sequence[in
     if not cells.head(1):
         raise ValueError("no ground return")
     if method == "nearest":
-        full = grid.nearest_fill(_over(cells, ref, within), ref).select("row", "col", "value")
+        full = _filled(cells, ref, within)
     elif method == "idw":
         if math.isinf(radius):
             r = max(1, math.ceil(grid.reach(cells, ref)))  # over the whole grid, whatever cells are asked for
@@ -70,7 +76,7 @@ def terrain_model(points: DataFrame, ref: GridRef, *, class_terrain: Sequence[in
 def surface_model(points: DataFrame, ref: GridRef, *, classes: Sequence[int] = (2, 9, 3, 4, 5, 6), kernel: list[list[float]] | None = None, within: DataFrame | None = None) -> DataFrame:
     """row, col, surface on the whole grid (or on the cells of `within`, if nothing is smoothed): highest return of a cell, filled from the nearest, smoothed."""
     top = grid.rasterize(points.where(F.col("classification").isin(*classes)), ref, "z", "max")
-    full = grid.nearest_fill(_over(top, ref, None if kernel is not None else within), ref).select("row", "col", "value")
+    full = _filled(top, ref, None if kernel is not None else within)
     if kernel is not None:
         full = grid.focal(full, ref, kernel)
     return full.withColumnRenamed("value", "surface")

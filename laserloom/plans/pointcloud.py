@@ -242,7 +242,7 @@ def g4_nearest_fill(spark, d):
     p = pts(spark, d)
     ref = grid.grid_over(p, 10.0)
     cells = grid.rasterize(p.where(predicates.of_class([2, 9]) & F.col("z").isNotNull()), ref, "z", "mean")
-    return grid.nearest_fill(grid.densify(cells, ref), ref).select("row", "col", r("value", 4, "value"), r("dist", 6, "dist"))
+    return grid.nearest_fill(cells, ref, whole=True).select("row", "col", r("value", 4, "value"), r("dist", 6, "dist"))
 
 
 @query(f"""WITH {_nearest_sql(10.0, _SURFACE)}, o(i, j, w) AS (VALUES {", ".join(f"({i - 1}, {j - 1}, {_KERNEL[i][j]}::DOUBLE)" for i in range(3) for j in range(3))})

@@ -408,3 +408,21 @@ def test_stream_of_tiles(spark, small, tmp_path):
     r = ingest.stream_rates(s, late="30 years").writeStream.format("memory").queryName("rates").outputMode("append").trigger(availableNow=True).start()
     r.awaitTermination(120)
     assert spark.table("rates").columns == ["start", "end", "point_source_id", "n"]
+
+
+def test_nearest_fill_across_wide_gaps_needs_few_cells(spark, monkeypatch):
+    """Two corners of an empty grid: the nearest of each cell is found without tiles as wide as the gap."""
+    from laserloom.operators.grid import GridRef
+
+    def never(*_, **__):
+        raise AssertionError("tiles with a halo of the gap's width")
+
+    monkeypatch.setattr(grid, "tiled", never)
+    ref = GridRef(0.0, 0.0, 1.0, -1.0, 700, 900)
+    cells = spark.createDataFrame([(1, 1, 5.0), (700, 900, 7.0), (1, 3, 6.0)], "row int, col int, value double")
+    got = grid.nearest_fill(cells, ref, whole=True).toPandas()
+    assert len(got) == 700 * 900 and not got.duplicated(["row", "col"]).any()
+    d = np.stack([np.hypot(got.row - r, got.col - k) for r, k in ((1, 1), (1, 3), (700, 900))])
+    assert np.allclose(got.dist, d.min(0)) and (got.value == np.array([5.0, 6.0, 7.0])[d.argmin(0)]).all()
+    some = spark.createDataFrame([(350, 2, None), (1, 1, 5.0), (650, 880, None), (700, 900, 7.0)], "row int, col int, value double")
+    assert {(x.row, x.col): x.value for x in grid.nearest_fill(some, ref).collect()} == {(350, 2): 5.0, (1, 1): 5.0, (650, 880): 7.0, (700, 900): 7.0}
