@@ -341,16 +341,12 @@ def gaussian(size: int, sigma: float) -> list[list[float]]:
 
 def focal(raster: DataFrame, ref: GridRef, kernel: list[list[float]], value: str = "value") -> DataFrame:
     """Correlation with a kernel of odd size, edges replicated. The raster must be dense and without nulls
-    (fill first); kernels up to 7 x 7 scatter, larger ones work on tiles."""
+    (fill first). Works on tiles, so each cell is moved about once whatever the kernel."""
     h, w = len(kernel) // 2, len(kernel[0]) // 2
     if len(kernel) % 2 == 0 or len(kernel[0]) % 2 == 0:
         raise ValueError("the kernel's sides must be odd")
     spread = lambda c, n, r: F.explode(F.when((F.col(c) == 1) & F.lit(n == 1), F.sequence(F.lit(1 - r), F.lit(n + r))).when(F.col(c) == 1, F.sequence(F.lit(1 - r), F.lit(1))).when(F.col(c) == n, F.sequence(F.lit(n), F.lit(n + r))).otherwise(F.array(F.col(c))))
     padded = raster.select("row", "col", F.col(value).alias("v")).withColumn("row", spread("row", ref.nrows, h)).withColumn("col", spread("col", ref.ncols, w))
-    if len(kernel) * len(kernel[0]) <= 49:
-        steps = [(h - i, w - j, kernel[i][j]) for i in range(2 * h + 1) for j in range(2 * w + 1) if kernel[i][j]]
-        s = _scatter(padded, steps).where(ref.inside())
-        return s.groupBy("row", "col").agg(F.sum(F.col("w") * F.col("v")).alias(value))
     k = np.array(kernel)
 
     def work(a, present, r0, c0):
@@ -360,7 +356,7 @@ def focal(raster: DataFrame, ref: GridRef, kernel: list[list[float]], value: str
                 out += k[i, j] * np.roll(v, (h - i, w - j), (0, 1))
         return {"f": out}
 
-    return tiled(padded, ["v"], 128, max(h, w), work, {"f": T.DoubleType()}).where(ref.inside()).select("row", "col", F.col("f").alias(value))
+    return tiled(padded, ["v"], 128, max(h, w), work, {"f": T.DoubleType()}).where(ref.inside()).select("row", "col", F.when(~F.isnan("f"), F.col("f")).alias(value))
 
 
 def cubic(d: float) -> float:

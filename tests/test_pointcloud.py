@@ -426,3 +426,16 @@ def test_nearest_fill_across_wide_gaps_needs_few_cells(spark, monkeypatch):
     assert np.allclose(got.dist, d.min(0)) and (got.value == np.array([5.0, 6.0, 7.0])[d.argmin(0)]).all()
     some = spark.createDataFrame([(350, 2, None), (1, 1, 5.0), (650, 880, None), (700, 900, 7.0)], "row int, col int, value double")
     assert {(x.row, x.col): x.value for x in grid.nearest_fill(some, ref).collect()} == {(350, 2): 5.0, (1, 1): 5.0, (650, 880): 7.0, (700, 900): 7.0}
+
+
+def test_small_kernels_move_each_cell_about_once(spark, monkeypatch):
+    def never(*_):
+        raise AssertionError("every cell copied once for each cell of the kernel")
+
+    monkeypatch.setattr(grid, "_scatter", never)
+    a = np.random.RandomState(3).rand(9, 140)
+    df, ref = dense(spark, a)
+    wide = np.pad(a, 1, mode="edge")
+    assert np.allclose(back(grid.focal(df, ref, [[1 / 9] * 3] * 3), a.shape), sum(wide[i : i + 9, j : j + 140] for i in range(3) for j in range(3)) / 9)
+    none = grid.focal(df.withColumn("value", F.lit(None).cast("double")), ref, [[1 / 9] * 3] * 3)
+    assert none.count() == a.size and none.where("value is not null").count() == 0
