@@ -199,47 +199,77 @@ _FROM = {
 
 def shapes_of(pid: np.ndarray, xyz: np.ndarray, chroma: np.ndarray | None, want: set[str], alpha_min: float = 0.0) -> dict:
     """Geometry of one segment by name; None where it has none (too few or flat points)."""
-    from laserloom.geometry import hull as H
+    return shapes_of_many(np.zeros(len(pid), int), pid, xyz, chroma, want, alpha_min)[0]
+
 
-    o = np.lexsort((pid,))
-    pid, xyz = pid[o], xyz[o]
-    near = xyz - xyz.mean(0)
-    got: dict = {}
-    if want & {"CVH2D", "XCVH2D", "YCVH2D", "CVH2DArea"}:
-        r = H.ring_2d(xyz[:, :2])
-        if r is not None:
-            ring = xyz[np.append(r, r[0]), :2]
-            got |= {"CVH2D": ring.tolist(), "XCVH2D": ring[:, 0].tolist(), "YCVH2D": ring[:, 1].tolist(), "CVH2DArea": H.ring_area(near[r, :2])}
-    hull3 = None
-    if want & {"CVH3D", "CVH3DArea", "CVH3DVol", "__cvh3d_facets", "RChroHQ50", "GChroHQ50", "BChroHQ50"}:
-        hull3 = H.convex_hull(near)
-        if hull3 is not None:
-            area, volume = H.area_and_volume(near, hull3)
-            got |= {"CVH3D": pid[hull3.facets].tolist(), "CVH3DArea": area, "CVH3DVol": volume, "__cvh3d_facets": len(hull3.facets)}
-            if chroma is not None:
-                med = np.array([np.median(v[~np.isnan(v)]) if (~np.isnan(v)).any() else np.nan for v in chroma[o][hull3.vertices].T])
-                got |= {k: None if np.isnan(v) else float(v) for k, v in zip(("RChroHQ50", "GChroHQ50", "BChroHQ50"), med)}
+def shapes_of_many(group: np.ndarray, pid: np.ndarray, xyz: np.ndarray, chroma: np.ndarray | None, want: set[str], alpha_min: float = 0.0) -> list[dict]:
+    """shapes_of of each group (0, 1, ..)."""
+    from laserloom.geometry import hull as H
+    from laserloom.geometry.shapes import alpha_shapes
+
+    o = np.lexsort((pid, group))
+    group, pid, xyz = group[o], pid[o], xyz[o]
+    chroma = None if chroma is None else chroma[o]
+    size = np.bincount(group)
+    ends = np.cumsum(size)
+    each = [slice(b - n, b) for n, b in zip(size, ends)]
+    near = xyz - np.stack([xyz[s].mean(0) for s in each])[group]
+    out: list[dict] = [{} for _ in each]
+    for s, got in zip(each, out):
+        if want & {"CVH2D", "XCVH2D", "YCVH2D", "CVH2DArea"}:
+            r = H.ring_2d(xyz[s, :2])
+            if r is not None:
+                ring = xyz[s][np.append(r, r[0]), :2]
+                got |= {"CVH2D": ring.tolist(), "XCVH2D": ring[:, 0].tolist(), "YCVH2D": ring[:, 1].tolist(), "CVH2DArea": H.ring_area(near[s][r, :2])}
+        if want & {"CVH3D", "CVH3DArea", "CVH3DVol", "__cvh3d_facets", "RChroHQ50", "GChroHQ50", "BChroHQ50"}:
+            hull3 = H.convex_hull(near[s])
+            if hull3 is not None:
+                area, volume = H.area_and_volume(near[s], hull3)
+                got |= {"CVH3D": pid[s][hull3.facets].tolist(), "CVH3DArea": area, "CVH3DVol": volume, "__cvh3d_facets": len(hull3.facets)}
+                if chroma is not None:
+                    med = np.array([np.median(v[~np.isnan(v)]) if (~np.isnan(v)).any() else np.nan for v in chroma[s][hull3.vertices].T])
+                    got |= {k: None if np.isnan(v) else float(v) for k, v in zip(("RChroHQ50", "GChroHQ50", "BChroHQ50"), med)}
     if want & {"CCH2D", "XCCH2D", "YCCH2D", "CCH2DArea"}:
-        a = H.alpha_shape(near[:, :2], alpha_min)
-        if a is not None:
-            r = H.walk(a.boundary)
-            ring = xyz[[*r, r[0]], :2]
-            got |= {"CCH2D": ring.tolist(), "XCCH2D": ring[:, 0].tolist(), "YCCH2D": ring[:, 1].tolist(), "CCH2DArea": a.measure}
+        for got, a in zip(out, alpha_shapes(near[:, :2], group, alpha_min)):
+            if a is None:
+                continue
+            got["CCH2DArea"] = a.measure
+            if want & {"CCH2D", "XCCH2D", "YCCH2D"}:
+                r = H.walk(a.boundary)
+                ring = xyz[[*r, r[0]], :2]
+                got |= {"CCH2D": ring.tolist(), "XCCH2D": ring[:, 0].tolist(), "YCCH2D": ring[:, 1].tolist()}
     if want & {"CCH3D", "CCH3DArea", "CCH3DVol", "__cch3d_facets"}:
-        a = H.alpha_shape(near, alpha_min)
-        if a is not None:
-            got |= {"CCH3D": pid[a.boundary].tolist(), "CCH3DArea": a.surface, "CCH3DVol": a.measure, "__cch3d_facets": len(a.boundary)}
-    return got
+        for got, a in zip(out, alpha_shapes(near, group, alpha_min)):
+            if a is not None:
+                got |= {"CCH3D": pid[a.boundary].tolist(), "CCH3DArea": a.surface, "CCH3DVol": a.measure, "__cch3d_facets": len(a.boundary)}
+    return out
 
 
-def _kernel(cols: list[str], colour: bool, alpha_min: float):
-    def one(key, pdf):
-        import pandas as pd
+def _kernel(cols: list[str], colour: bool, alpha_min: float, batch: int = 40_000):
+    """Of rows in order of label, the geometry of each: whole segments together, `batch` rows or one segment at a time."""
+    import pandas as pd
 
-        got = shapes_of(pdf["pid"].to_numpy(), pdf[["x", "y", "z"]].to_numpy(float), pdf[["r", "g", "b"]].to_numpy(float) if colour else None, set(cols), alpha_min)
-        return pd.DataFrame({"label": [key[0]], **{k: pd.Series([got.get(k)], dtype=object) for k in cols}})
+    def shapes(pdf):
+        group, labels = pd.factorize(pdf["label"])
+        got = shapes_of_many(group, pdf["pid"].to_numpy(), pdf[["x", "y", "z"]].to_numpy(float), pdf[["r", "g", "b"]].to_numpy(float) if colour else None, set(cols), alpha_min)
+        return pd.DataFrame({"label": labels, **{k: pd.Series([g.get(k) for g in got], dtype=object) for k in cols}})
 
-    return one
+    def work(pdfs):
+        held, rows, most = [], 0, batch
+        for pdf in pdfs:
+            held.append(pdf)
+            rows += len(pdf)
+            if rows >= most:
+                d = pd.concat(held, ignore_index=True)
+                last = d["label"] == d["label"].iloc[-1]
+                if not last.all():
+                    yield shapes(d[~last])
+                held, rows = [d[last]], int(last.sum())
+                most = max(batch, 2 * rows)
+        if rows:
+            yield shapes(pd.concat(held, ignore_index=True))
+
+    return work
 
 
 def _split_by_size(d: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
@@ -268,7 +298,7 @@ def hull_candidates(d: DataFrame, most: int = 5000) -> DataFrame:
 
 
 def thinned(d: DataFrame, most: int = 20_000) -> DataFrame:
-    """Points for alpha shapes, which need a segment as a whole: segments of more than `most` points are
+    """Fewer points for a look at large segments (no metric uses it): segments of more than `most` points are
     thinned to the first point of each voxel, the voxels being so large that about `most` of them fill the bounds."""
     small, large = _split_by_size(d, most)
     box = large.groupBy("label").agg(*[F.min(k).alias(f"__{k}") for k in "xyz"], ((F.max("x") - F.min("x")) * (F.max("y") - F.min("y")) * (F.max("z") - F.min("z"))).alias("__v"))
@@ -307,7 +337,7 @@ def segment_metrics(points: DataFrame, metrics: Sequence[str] = ("scalar",), *,
 
     dtm: row, col, terrain on `ref` gives the ground height at the apex; without it the ground is the segment's
     lowest point. Points without label, position or height take no part. Only alpha shapes take a segment as a
-    whole, and thin it first if it is very large; convex hulls, scores and statistics work in parts."""
+    whole, with all its points; convex hulls, scores and statistics work in parts."""
     names = select_metrics(metrics, points.columns)
     want = [REGISTRY[n] for n in names]
     p = points.where(labelled() & F.expr("x is not null and y is not null and z is not null and not isnan(z)"))
@@ -343,16 +373,13 @@ def segment_metrics(points: DataFrame, metrics: Sequence[str] = ("scalar",), *,
         colour = {"red", "green", "blue"} <= set(p.columns)
         src = p.select("label", "pid", "x", "y", "z", *[_chroma(k).alias(k[0]) for k in ("red", "green", "blue") if colour])
         whole = raw & {k for k in _SHAPES if "CCH" in k or "cch" in k}
-        for part, reduce in ((raw - whole, hull_candidates), (whole, thinned)):
-            if not part:
-                continue
-            base = reduce(src)
-            cols = sorted(part)
-            out = T.StructType([T.StructField("label", p.schema["label"].dataType), *[T.StructField(k, _SHAPES[k]) for k in cols]])
+        # alpha shapes need every point of a segment: where they are wanted, the hulls are of the same rows
+        base, cols = src if whole else hull_candidates(src), sorted(raw)
+        out = T.StructType([T.StructField("label", p.schema["label"].dataType), *[T.StructField(k, _SHAPES[k]) for k in cols]])
 
-            # a number of our own: small tables would else be coalesced into one task of heavy kernels
-            base = base.repartition(int(p.sparkSession.conf.get("spark.sql.shuffle.partitions")), "label")
-            d = d.join(base.groupBy("label").applyInPandas(_kernel(cols, colour, alpha_min), out), "label", "left")
+        # a number of our own: small tables would else be coalesced into one task of heavy kernels
+        base = base.repartition(int(p.sparkSession.conf.get("spark.sql.shuffle.partitions")), "label").sortWithinPartitions("label", "pid")
+        d = d.join(base.mapInPandas(_kernel(cols, colour, alpha_min), out), "label", "left")
     if "LUID" in names:
         d = d.join(label_ranks(p), "label")
     post = {}
