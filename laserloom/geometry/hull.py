@@ -31,10 +31,11 @@ def _planes(points: np.ndarray, facets: np.ndarray, inner: np.ndarray) -> tuple[
     if d == 2:
         n = np.stack([edges[:, 0, 1], -edges[:, 0, 0]], 1)
     elif d == 3:
-        n = np.cross(edges[:, 0], edges[:, 1])
+        (a, b, c), (e, f, g) = edges[:, 0].T, edges[:, 1].T
+        n = np.stack([b * g - c * f, c * e - a * g, a * f - b * e], 1)
     else:
         n = np.linalg.svd(edges)[2][:, -1]
-    n = n / np.maximum(np.linalg.norm(n, axis=1, keepdims=True), 1e-300)
+    n = n / np.maximum(np.sqrt((n * n).sum(1, keepdims=True)), 1e-300)
     off = np.einsum("ij,ij->i", n, corners[:, 0])
     flip = n @ inner > off
     n[flip] *= -1
@@ -78,15 +79,32 @@ def convex_hull(points: np.ndarray) -> Hull | None:
     facets = np.array([[c for c in first if c != k] for k in first])
     normals, offsets = _planes(p, facets, inner)
     order = np.argsort(-np.linalg.norm(p - inner, axis=1), kind="stable")
-    for k in order:
-        seen = normals @ p[k] - offsets > eps
-        if not seen.any():
+    sides = [[c for c in range(d) if c != j] for j in range(d)]
+    short = n ** (d - 1) < 2**62  # a ridge's corners fit into one number
+    i = 0
+    while i < n:
+        ahead = order[i : i + 32]
+        sees = p[ahead] @ normals.T - offsets > eps
+        some = sees.any(1)
+        j = int(some.argmax())
+        if not some[j]:
+            i += len(ahead)
             continue
+        i, k, seen = i + j + 1, ahead[j], sees[j]
         vis = facets[seen]
-        ridges = np.concatenate([np.delete(vis, j, axis=1) for j in range(d)])
+        ridges = np.concatenate([vis[:, c] for c in sides])
         ridges.sort(axis=1)
-        uniq, count = np.unique(ridges, axis=0, return_counts=True)
-        horizon = uniq[count == 1]
+        if short:
+            key = ridges[:, 0]
+            for c in range(1, d - 1):
+                key = key * n + ridges[:, c]
+            o = np.argsort(key)
+            key = key[o]
+            twin = np.append(key[1:] == key[:-1], False)
+            horizon = ridges[o[~(twin | np.append(False, twin[:-1]))]]
+        else:
+            uniq, count = np.unique(ridges, axis=0, return_counts=True)
+            horizon = uniq[count == 1]
         new = np.column_stack([horizon, np.full(len(horizon), k)])
         nn, no = _planes(p, new, inner)
         keep = ~seen

@@ -91,3 +91,25 @@ def test_segments_stay_whole_over_batches():
     assert one["label"].tolist() == many["label"].tolist() == list(range(11)) and one["CCH2D"].tolist() == many["CCH2D"].tolist()
     for c in cols[1:]:
         assert one[c].isna().tolist() == many[c].isna().tolist() and one[c].dropna().tolist() == pytest.approx(many[c].dropna().tolist())
+
+
+def test_many_sets_take_far_less_time_than_one_by_one():
+    import time
+
+    r = np.random.RandomState(6)
+    p, group = r.rand(150 * 50, 3) * [8, 8, 20], np.repeat(np.arange(150), 50)
+    began = time.process_time()
+    many = segments.shapes_of_many(group, np.arange(len(p)), p, None, {"CCH3DVol", "CVH3DVol"})
+    took = time.process_time() - began
+    began = time.process_time()
+    one = [hull.alpha_shape(p[group == k]).measure for k in range(150)]
+    assert took < (time.process_time() - began) / 2
+    assert [m["CCH3DVol"] for m in many] == pytest.approx(one)
+    assert all(m["CVH3DVol"] >= m["CCH3DVol"] for m in many)
+
+
+def test_convex_hull_of_more_points_than_it_looks_ahead():
+    p = np.round(np.random.RandomState(7).rand(2000, 3) * [4, 5, 6], 1)
+    h = hull.convex_hull(p)
+    assert (p @ h.normals.T <= h.offsets + 1e-6).all() and len(h.facets) == 2 * len(h.vertices) - 4
+    assert hull.area_and_volume(p, h)[1] == pytest.approx(120, rel=0.05)
