@@ -16,15 +16,17 @@ EPS = 1e-14
 
 
 def _normals(p: np.ndarray, v: np.ndarray, inner: np.ndarray) -> np.ndarray:
-    e = p[v[:, 1:]] - p[v[:, :1]]
+    base = p.take(v[:, 0], 0)
+    e = [np.ascontiguousarray((p.take(v[:, k], 0) - base).T) for k in range(1, p.shape[1])]
     if p.shape[1] == 3:
-        n = np.cross(e[:, 0], e[:, 1])
+        (a, b, c), (f, g, h) = e
+        n = np.stack([b * h - c * g, c * f - a * h, a * g - b * f], 1)
     else:
-        (a, b, c, d), (f, g, h, i), (q, r, s, t) = (x.T for x in (e[:, 0], e[:, 1], e[:, 2]))
+        (a, b, c, d), (f, g, h, i), (q, r, s, t) = e
         gh, gi, hi, fh, fi, fg = g * s - h * r, g * t - i * r, h * t - i * s, f * s - h * q, f * t - i * q, f * r - g * q
         n = np.stack([b * hi - c * gi + d * gh, -(a * hi - c * fi + d * fh), a * gi - b * fi + d * fg, -(a * gh - b * fh + c * fg)], 1)
     n = n / np.maximum(np.sqrt(np.einsum("ij,ij->i", n, n))[:, None], 1e-300)
-    n[np.einsum("ij,ij->i", n, inner - p[v[:, 0]]) > 0] *= -1
+    n[np.einsum("ij,ij->i", n, inner - base) > 0] *= -1
     return n
 
 
@@ -60,17 +62,20 @@ class _Hulls:
             pass
 
     def far(self, q: np.ndarray, f: np.ndarray) -> np.ndarray:
-        return np.einsum("ij,ij->i", self.n[f], self.p[q] - self.p[self.v[f, 0]])
+        e = self.p.take(q, 0)
+        e -= self.p.take(self.v[:, 0].take(f), 0)
+        return np.einsum("ij,ij->i", self.n.take(f, 0), e)
 
     def place(self, pts: np.ndarray, start: np.ndarray, count: np.ndarray, ids: np.ndarray) -> None:
         """Give each point the facet that it is farthest from, of ids[start .. start + count - 1], or none."""
         for b in range(0, len(pts), 20_000):
             q, s, n = pts[b : b + 20_000], start[b : b + 20_000], count[b : b + 20_000]
-            f = ids[_ranges(s, n)]
-            far = self.far(np.repeat(q, n), f)
+            f = ids.take(_ranges(s, n))
+            each = np.repeat(q, n)
+            far = self.far(each, f)
             most = np.maximum.reduceat(far, np.cumsum(n) - n)
             hit = np.flatnonzero(far == np.repeat(most, n))
-            self.facet[np.repeat(q, n)[hit]] = f[hit]
+            self.facet[each[hit]] = f[hit]
             self.dist[q] = most
             self.facet[q[~(most > EPS)]] = -1
 
@@ -87,16 +92,23 @@ class _Hulls:
         if not len(act):
             return False
         # the farthest point of each facet, and of neighbouring facets' only one
-        o = act[np.argsort(self.dist[act])]
-        self.who[self.facet[o]] = o
-        pick = o[self.who[self.facet[o]] == o]
-        self.who[self.facet[o]] = -1
+        o = act.take(np.argsort(self.dist.take(act)))
+        at = self.facet.take(o)
+        self.who[at] = o
+        pick = o[self.who.take(at) == o]
+        self.who[at] = -1
         pick = self.random.permutation(pick)
         f = self.facet[pick]
         self.who[f] = np.arange(len(f))
-        near = self.a[f]
-        top = np.maximum(self.who[near].max(1), self.who[self.a[near]].max((1, 2)))
-        best = top <= np.arange(len(f))
+        near = self.a.take(f, 0)
+        best = np.ones(len(f), bool)
+        for j in range(self.d):
+            best &= self.who.take(near[:, j]) <= np.arange(len(f))
+        k = np.flatnonzero(best)
+        for j in range(self.d):
+            beyond = self.a.take(near[k, j], 0)
+            for i in range(self.d):
+                best[k] &= self.who.take(beyond[:, i]) <= k
         self.who[f] = -1
         pick, f = pick[best], f[best]
         # holes: all facets that a point sees, from its own outwards; whoever comes later in the list wins
@@ -105,40 +117,44 @@ class _Hulls:
         self.claim[f], self.seen[f] = c, True
         holes, touched = [(c, f)], [f]
         while len(c):
-            k, g = np.repeat(c, self.d), self.a[f].ravel()
-            new = self.claim[g] != k
-            k, g = k[new], g[new]
+            k, g = np.repeat(c, self.d), self.a.take(f, 0).ravel()
+            new = np.flatnonzero(self.claim.take(g) != k)
+            k, g = k.take(new), g.take(new)
             np.maximum.at(self.claim, g, k)
-            lost = self.claim[g] != k
-            alive[k[lost]] = False
-            k, g = k[~lost], g[~lost]
+            won = self.claim.take(g) == k
+            alive[k[~won]] = False
+            won = np.flatnonzero(won)
+            k, g = k.take(won), g.take(won)
             self.who[g] = np.arange(len(g))
-            once = (self.who[g] == np.arange(len(g))) & alive[k]
+            once = np.flatnonzero((self.who.take(g) == np.arange(len(g))) & alive.take(k))
             self.who[g] = -1
             touched.append(g)
-            k, g = k[once], g[once]
-            sees = self.far(pick[k], g) > EPS
+            k, g = k.take(once), g.take(once)
+            sees = self.far(pick.take(k), g) > EPS
             self.seen[g] = sees
             c, f = k[sees], g[sees]
             holes.append((c, f))
         c, f = (np.concatenate(x) for x in zip(*holes))
-        rim = self.a[f]
-        alive[c[(self.claim[f] != c) | (self.claim[rim] != c[:, None]).any(1)]] = False
+        lost = self.claim.take(f) != c
+        for j in range(self.d):
+            lost |= self.claim.take(self.a[:, j].take(f)) != c
+        alive[c[lost]] = False
         # new facets, from the ridges at the rims to the points
-        m = alive[c]
-        c, f = c[m], f[m]
-        o = np.argsort(c, kind="stable")
-        c, f = c[o], f[o]
-        i, j = np.nonzero(~self.seen[self.a[f]])
-        hc, hf = c[i], f[i]
-        hg = self.a[hf, j]
-        slots = self.others[j]
-        rest = np.take_along_axis(self.v[hf], slots, 1)
+        m = np.flatnonzero(alive.take(c))
+        m = m.take(np.argsort(c.take(m), kind="stable"))
+        c, f = c.take(m), f.take(m)
+        rim = self.a.take(f, 0)
+        i, j = np.nonzero(~self.seen.take(rim))
+        hc, hf = c.take(i), f.take(i)
+        hg = rim.ravel().take(i * self.d + j)
+        slots = self.others.take(j, 0)
+        nv = self.v.take(hf, 0)
+        rest = nv.ravel().take(slots + np.arange(len(nv))[:, None] * self.d)
         if self.d == 3:
             key = rest[:, ::-1].astype(np.int64)
         else:
-            w = rest[:, [[1, 2], [0, 2], [0, 1]]]
-            key = w.min(2).astype(np.int64) * len(self.p) + w.max(2)
+            x, y, z = rest.T
+            key = np.stack([np.minimum(b, c) * len(self.p) + np.maximum(b, c) for b, c in ((y, z), (x, z), (x, y))], 1)
         key = key * len(pick) + hc[:, None]
         width = self.d - 1
         e = np.argsort(key.ravel(), kind="stable")
@@ -152,20 +168,19 @@ class _Hulls:
             self.grow(len(hf))
         pool = np.concatenate([f, self.free])
         ids, self.free = pool[: len(hf)], pool[len(hf) :]
-        nv = self.v[hf]
         nv[np.arange(len(hf)), j] = pick[hc]
         na = np.empty_like(nv)
         na[np.arange(len(hf)), j] = hg
         t, slot = e // width, slots.ravel()[e]
         na[t[::2], slot[::2]], na[t[1::2], slot[1::2]] = ids[t[1::2]], ids[t[::2]]
-        back = (self.a[hg] == hf[:, None]).argmax(1)
+        back = (self.a.take(hg, 0) == hf[:, None]).argmax(1)
         # points that have lost their facet
         gone = np.zeros(len(self.v), bool)
         gone[f] = True
         self.facet[pick[alive]] = -1
-        pts = act[(self.facet[act] >= 0)]
-        pts = pts[gone[self.facet[pts]]]
-        owner = self.claim[self.facet[pts]]
+        pts = act[self.facet.take(act) >= 0]
+        pts = pts[gone.take(self.facet.take(pts))]
+        owner = self.claim.take(self.facet.take(pts))
         self.live[f] = False
         self.a[hg, back] = ids
         self.v[ids], self.a[ids], self.n[ids], self.live[ids] = nv, na, _normals(self.p, nv, self.inner[self.group[pick[hc]]]), True
