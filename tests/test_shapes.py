@@ -113,3 +113,19 @@ def test_convex_hull_of_more_points_than_it_looks_ahead():
     h = hull.convex_hull(p)
     assert (p @ h.normals.T <= h.offsets + 1e-6).all() and len(h.facets) == 2 * len(h.vertices) - 4
     assert hull.area_and_volume(p, h)[1] == pytest.approx(120, rel=0.05)
+
+
+def test_no_metric_thins_its_segments(spark, monkeypatch):
+    def never(*_):
+        raise AssertionError("metrics of a part of the points")
+
+    monkeypatch.setattr(segments, "thinned", never)
+    p, group = sets(11)
+    n = np.arange(len(p))
+    rows = [(int(i), int(g) + 1, *map(float, x), float(i % 50), int(i % 2) + 1, 2, int(i % 7) + 1, 5, int(i % 3)) for i, g, x in zip(n, group, p)]
+    d = spark.createDataFrame(rows, "pid long, label long, x double, y double, z double, intensity double, return_number int, number_of_returns int, red int, green int, blue int")
+    got = {x.label: x for x in segments.segment_metrics(d, ["scalar"]).collect()}
+    want = shapes.alpha_shapes(p, group)
+    assert {5, 6, 7} <= set(got)  # sets of 17, 60 and 120 points
+    for k, x in got.items():
+        assert x.NPoints == (group == k - 1).sum() and x.CCH3DVol == pytest.approx(want[k - 1].measure) and x.CCH3DRa == pytest.approx(len(want[k - 1].boundary) / x.NPoints)
