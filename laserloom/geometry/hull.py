@@ -125,15 +125,17 @@ def ring_2d(points: np.ndarray) -> np.ndarray | None:
     if len(o) < 3:
         return None
 
+    x, y = points[:, 0].tolist(), points[:, 1].tolist()
+
     def chain(idx):
         out: list[int] = []
-        for k in idx:
+        for k in idx.tolist():
             while len(out) > 1:
-                a, b = points[out[-1]] - points[out[-2]], points[k] - points[out[-2]]
-                if a[0] * b[1] - a[1] * b[0] > flat:
+                i, j = out[-2], out[-1]
+                if (x[j] - x[i]) * (y[k] - y[i]) - (y[j] - y[i]) * (x[k] - x[i]) > flat:
                     break
                 out.pop()
-            out.append(int(k))
+            out.append(k)
         return out
 
     low, high = chain(o), chain(o[::-1])

@@ -225,8 +225,10 @@ def shapes_of_many(group: np.ndarray, pid: np.ndarray, xyz: np.ndarray, chroma:
             hull3 = H.convex_hull(near[s])
             if hull3 is not None:
                 area, volume = H.area_and_volume(near[s], hull3)
-                got |= {"CVH3D": pid[s][hull3.facets].tolist(), "CVH3DArea": area, "CVH3DVol": volume, "__cvh3d_facets": len(hull3.facets)}
-                if chroma is not None:
+                got |= {"CVH3DArea": area, "CVH3DVol": volume, "__cvh3d_facets": len(hull3.facets)}
+                if "CVH3D" in want:
+                    got["CVH3D"] = pid[s][hull3.facets].tolist()
+                if chroma is not None and want & {"RChroHQ50", "GChroHQ50", "BChroHQ50"}:
                     med = np.array([np.median(v[~np.isnan(v)]) if (~np.isnan(v)).any() else np.nan for v in chroma[s][hull3.vertices].T])
                     got |= {k: None if np.isnan(v) else float(v) for k, v in zip(("RChroHQ50", "GChroHQ50", "BChroHQ50"), med)}
     if want & {"CCH2D", "XCCH2D", "YCCH2D", "CCH2DArea"}:
@@ -241,7 +243,9 @@ def shapes_of_many(group: np.ndarray, pid: np.ndarray, xyz: np.ndarray, chroma:
     if want & {"CCH3D", "CCH3DArea", "CCH3DVol", "__cch3d_facets"}:
         for got, a in zip(out, alpha_shapes(near, group, alpha_min)):
             if a is not None:
-                got |= {"CCH3D": pid[a.boundary].tolist(), "CCH3DArea": a.surface, "CCH3DVol": a.measure, "__cch3d_facets": len(a.boundary)}
+                got |= {"CCH3DArea": a.surface, "CCH3DVol": a.measure, "__cch3d_facets": len(a.boundary)}
+                if "CCH3D" in want:
+                    got["CCH3D"] = pid[a.boundary].tolist()
     return out
 
 

@@ -129,3 +129,12 @@ def test_no_metric_thins_its_segments(spark, monkeypatch):
     assert {5, 6, 7} <= set(got)  # sets of 17, 60 and 120 points
     for k, x in got.items():
         assert x.NPoints == (group == k - 1).sum() and x.CCH3DVol == pytest.approx(want[k - 1].measure) and x.CCH3DRa == pytest.approx(len(want[k - 1].boundary) / x.NPoints)
+
+
+def test_only_the_shapes_asked_for_are_listed():
+    p, _ = sets(12)
+    p = p[16:200]
+    few = segments.shapes_of(np.arange(len(p)), p, None, {"CVH3DVol", "CCH3DVol"})
+    assert not {"CVH3D", "CCH3D", "CCH2D"} & set(few) and few["CVH3DVol"] > few["CCH3DVol"] > 0
+    all_ = segments.shapes_of(np.arange(len(p)), p, None, {"CVH3D", "CCH3D", "CVH3DVol", "CCH3DVol"})
+    assert len(all_["CVH3D"]) == all_["__cvh3d_facets"] and len(all_["CCH3D"]) == all_["__cch3d_facets"]
